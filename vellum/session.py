@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: where they don't find it by PYTHONPATH or their working
+    folder, it is sent to them once, as a zip file."""
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in {os.path.realpath(x) for x in known if x}:
+        return
+    target = Path(tempfile.mkdtemp(prefix="vellum-")) / "vellum.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench."""
     settings = {
