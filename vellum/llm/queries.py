@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, packing
+from vellum.llm import bpe, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.found(table(spark, folder, "chunks"))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "page_texts"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"))
 
@@ -23,5 +31,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p7_pack)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p7_pack)}
+ORACLE: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
+}
