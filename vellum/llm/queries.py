@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, packing, splitting
+from vellum.llm import bpe, packing, similar, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.found(table(spark, folder, "chunks"), table(spark, folder, "ingest_jobs"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.groups(table(spark, folder, "chunks"), table(spark, folder, "ingest_jobs"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.found(table(spark, folder, "chunks"))
 
@@ -31,7 +39,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p7_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_pack)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
