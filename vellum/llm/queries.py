@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, packing, similar, splitting
+from vellum.llm import bpe, neighbours, packing, similar, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "page_texts"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.found(table(spark, folder, "points"), table(spark, folder, "page_embeddings"))
+
+
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.pages_in_exact_order(table(spark, folder, "page_embeddings"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"))
 
@@ -39,7 +47,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
