@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, neighbours, packing, similar, splitting
+from vellum.llm import bpe, neighbours, packing, quality, similar, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.found(table(spark, folder, "page_texts"), table(spark, folder, "common_words"))
+
+
+def p1_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.with_quality(table(spark, folder, "page_texts"), table(spark, folder, "page_quality"), table(spark, folder, "common_words"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar.found(table(spark, folder, "chunks"), table(spark, folder, "ingest_jobs"))
 
@@ -47,7 +55,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
