@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, neighbours, packing, quality, similar, splitting
+from vellum.llm import bpe, neighbours, packing, quality, scans, similar, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,14 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return similar.groups(table(spark, folder, "chunks"), table(spark, folder, "ingest_jobs"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found(table(spark, folder, "page_texts"), table(spark, folder, "common_words"))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(table(spark, folder, "page_texts"), table(spark, folder, "common_words"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.found(table(spark, folder, "chunks"))
 
@@ -55,7 +63,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
