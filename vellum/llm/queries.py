@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, neighbours, packing, quality, scans, similar, splitting
+from vellum.llm import bpe, neighbours, offence, packing, quality, scans, similar, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,19 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return offence.found(table(spark, folder, "documents"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return offence.scored(table(spark, folder, "documents"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return offence.rates(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
