@@ -373,7 +373,7 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_search(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as text files through the whole ingest, then a text search over them."""
-    d = table(spark, folder, "documents").where("length(trim(text)) > 0")
+    d = table(spark, folder, "documents").where(F.col("text").rlike(r"[^\s\p{Z}\p{C}]"))
     f = d.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.format_string("doc-%d.txt", "doc_id").alias("filename"), F.lit("text/plain").alias("content_type"), F.encode("text", "UTF-8").alias("content"),
         "source", F.lit("INLINE").alias("source_type"), F.create_map(F.lit("lang"), F.coalesce("lang", F.lit(""))).alias("metadata"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import DEFAULTS, Settings
 from vellum.errors import InvalidRequest, ProviderUnavailable
+from vellum.operators.pooling import pool_cols, pool_rows
 
 
 class TextEmbedder(Protocol):
@@ -50,6 +51,50 @@ class HashEmbedder:
         return self.embed(words) if words else np.zeros((0, self.dim), dtype=np.float32)
 
 
+class PageEmbedder(Protocol):
+    """Embeds page images as patch grids with special tokens behind."""
+
+    model: str
+    grid: int
+    specials: int
+
+    def healthy(self) -> bool: ...
+
+    def embed_page(self, image: bytes) -> np.ndarray: ...
+
+
+class HashPageEmbedder:
+    """A deterministic offline page embedder: a vector per slice of the image's bytes."""
+
+    def __init__(self, grid: int = 4, specials: int = 2, dim: int = 16) -> None:
+        self.grid, self.specials, self.dim, self.model = grid, specials, dim, f"page-hash-{grid}x{grid}-{dim}"
+
+    def healthy(self) -> bool:
+        return True
+
+    def embed_page(self, image: bytes) -> np.ndarray:
+        n = self.grid * self.grid + self.specials
+        out = np.empty((n, self.dim), dtype=np.float32)
+        for i in range(n):
+            part = image[len(image) * i // n : len(image) * (i + 1) // n]
+            digest = hashlib.blake2b(part + bytes([i % 256]), digest_size=64).digest()
+            out[i] = np.frombuffer(digest, np.uint8)[: self.dim].astype(np.float32) - 127.5
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+#: Text vector lengths of the known model sizes, and words in page-model names by family.
+TEXT_DIMS = {"small": 384, "base": 768, "large": 1024}
+PAGE_FAMILIES = {"colqwen": "colqwen", "colpali": "colpali", "smolvlm": "colsmol", "colsmol": "colsmol"}
+
+
+def page_family(model: str) -> str:
+    """Which family of page models a name belongs to."""
+    for word, family in PAGE_FAMILIES.items():
+        if word in model.lower():
+            return family
+    raise InvalidRequest(f"unknown page model {model!r}; known: {', '.join(sorted(PAGE_FAMILIES))}")
+
+
 def checked(embedder: TextEmbedder, texts: list[str]) -> np.ndarray:
     """One vector per text, or an error."""
     if not texts:
@@ -86,3 +131,29 @@ def embed_query(embedder: TextEmbedder, text: str) -> list[float]:
 
 def embed_texts(df: DataFrame, embedder: TextEmbedder, text: str = "text", name: str = "vector") -> DataFrame:
     return df.withColumn(name, embed_column(embedder, F.col(text))).withColumn("embed_model", F.lit(embedder.model))
+
+
+def embed_pages(df: DataFrame, embedder: PageEmbedder, image: str = "png", settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds original, pooled_rows and pooled_cols to page images. The model runs in Arrow batches of
+    settings.page_batch pages; pooling is left to array expressions. A null or empty image is an error."""
+    size = settings.page_batch
+
+    @F.pandas_udf("array<array<float>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for k in range(0, len(batch), size):
+                for content in batch.iloc[k : k + size]:
+                    if content is None or not len(content):
+                        raise InvalidRequest("empty page image")
+                    out.append([row.tolist() for row in embedder.embed_page(bytes(content))])
+            yield pd.Series(out, dtype=object)
+
+    tokens = df.withColumn("original", run(F.col(image)))
+    return tokens.withColumns(
+        {
+            "pooled_rows": pool_rows(F.col("original"), embedder.grid, embedder.specials).cast("array<array<float>>"),
+            "pooled_cols": pool_cols(F.col("original"), embedder.grid, embedder.specials).cast("array<array<float>>"),
+            "embed_model": F.lit(embedder.model),
+        }
+    )
