@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: Catalyst would repeat the expression wherever it is mentioned, which
+    inside nested lambdas means once per element."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
@@ -30,14 +36,22 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two double arrays; null where either is null or all zero, or the lengths differ."""
-    length = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length)
+
+    def ratio(a: Column) -> Column:
+        length = norm(a) * norm(b)
+        return F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length)
+
+    return bound(a, ratio)
 
 
 def max_sim(query: Column, document: Column) -> Column:
     """Late interaction: for every query vector the best dot product in the document, summed."""
-    best = F.transform(query, lambda q: F.array_max(F.transform(document, lambda d: dot(q, d))))
-    return F.when(F.size(document) > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + x))
+
+    def total(document: Column) -> Column:
+        best = F.transform(query, lambda q: F.array_max(F.transform(document, lambda d: dot(q, d))))
+        return F.when(F.size(document) > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + x))
+
+    return bound(document, total)
 
 
 def usable(vector: Column, dim: int) -> Column:

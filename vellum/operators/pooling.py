@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.vectors import bound
+
 
 def special_tokens(model: Column) -> Column:
     """Number of trailing special tokens by the model's name."""
@@ -29,20 +31,23 @@ def _mean(vectors: Column) -> Column:
 def _pooled(tokens: Column, grid: int | Column, specials: int | Column, along_rows: bool) -> Column:
     grid = F.lit(grid) if isinstance(grid, int) else grid
     specials = F.lit(specials) if isinstance(specials, int) else specials
-    wide = tokens.cast("array<array<double>>")
-    side = _grid(wide, grid, specials)
 
-    def line(k: Column) -> Column:
-        def member(j: Column) -> Column:
-            at = k * side + j if along_rows else j * side + k
-            return F.try_element_at(wide, (at + 1).cast("int"))
+    def pool(wide: Column) -> Column:
+        def lines(side: Column) -> Column:
+            def line(k: Column) -> Column:
+                def member(j: Column) -> Column:
+                    at = k * side + j if along_rows else j * side + k
+                    return F.try_element_at(wide, (at + 1).cast("int"))
+
+                return bound(F.transform(F.sequence(F.lit(0), side - 1), member), _mean)
+
+            means = F.transform(F.sequence(F.lit(0), side - 1), line)
+            kept = F.slice(wide, side * side + 1, F.greatest(specials, F.lit(0)))
+            return F.when((F.size(wide) < specials) | (side <= 0), wide).otherwise(F.concat(means, kept))
 
-        return _mean(F.transform(F.sequence(F.lit(0), side - 1), member))
+        return bound(_grid(wide, grid, specials), lines)
 
-    means = F.transform(F.sequence(F.lit(0), side - 1), line)
-    kept = F.slice(wide, side * side + 1, F.greatest(specials, F.lit(0)))
-    whole = (F.size(wide) < specials) | (side <= 0)
-    return F.when(tokens.isNull(), None).when(whole, wide).otherwise(F.concat(means, kept))
+    return F.when(tokens.isNotNull(), bound(tokens.cast("array<array<double>>"), pool))
 
 
 def pool_rows(tokens: Column, grid: int | Column, specials: int | Column) -> Column:
