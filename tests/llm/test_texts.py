@@ -216,13 +216,13 @@ def test_page_numbers(line, page, yes):
 
 def test_scan_rows(spark):
     filler = "The harbour was rebuilt after the storm and the bridge was the pride of the town for many years to come."
-    rows = [("book", n, f"ANNALS OF THE HARBOUR\n{filler}\nIn the old har-\nbour of the town the brid9e was the first.\n\n{n}", None) for n in range(1, 8)]
+    rows = [("book", n, f"ANNALS OF THE HARBOUR\n{filler}\nIn the old har-\nbour of the town the {'brid9e' if n < 3 else 'bridge'} was the first.\n\n{n}", None) for n in range(1, 8)]
     rows[2] = ("book", 3, rows[2][2].replace("ANNALS OF", "ANNOLS OF"), None)
     rows += [("other", 1, filler + "\n" + filler, None)] * 40 + [("other", 2, None, None), (None, 1, filler, None), ("other", 3, "ANNALS ONCE\n" + filler, None)]
     pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string, extracted_at timestamp").withColumn("line_no", F.lit(1))
     words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
     got = {tuple(r) for r in scans.found(pages, words).collect()}
-    assert got == {x for n in range(1, 8) for x in (("book", n, 1, "header", ""), ("book", n, 3, "hyphen", "harbour"), ("book", n, 4, "char", "bridge"), ("book", n, 6, "page_number", ""))}
+    assert got == {x for n in range(1, 8) for x in (("book", n, 1, "header", ""), ("book", n, 3, "hyphen", "harbour"), ("book", n, 6, "page_number", ""))} | {("book", n, 4, "char", "bridge") for n in (1, 2)}
     text = {(r["doc_id"], r["page_number"]): r["text"] for r in scans.paragraphs(pages, words).orderBy("paragraph_no").collect()}
     assert "old harbour of the town the bridge was the first." in text["book", 2] and "ANNALS" not in text["book", 2]
     assert scans.found(pages.limit(0), words).count() == 0
