@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import normalised, page_range
 from vellum.operators.pages import latest_pages, page_offsets
+from vellum.session import staged
 
 LIMIT, OVERLAP = 1500, 200
 #: Length of a window in characters, and one in how many windows is picked.
 WINDOW, EVERY = 16, 128
 #: Pages and pieces meet in blocks of so many characters of a document.
 BLOCK = 8192
+#: The documents of oversized chunks are sent to all tasks up to so many; more are joined by shuffle.
+SEND_DOCS = 500_000
 
 _kinds = [re.compile(x) for x in (r"\n[ \t]*\n\s*", r"[.!?;…]+[\"'”’)\]]*\s+|[。！？；]+\s*", r"\n", r"\s+")]
 
@@ -144,11 +147,9 @@ def stored_start() -> Column:
 
 
 def located(big: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds to big: from_char, its true start in the document's joined page texts, and found, whether the text
-    itself says so. Without pages, or where no window of the text occurs in them, the stored offsets decide."""
-    latest = latest_pages(pages)
-    docs = big.select("doc_id").distinct()
-    mine = latest.join(docs, "doc_id", "left_semi").select("doc_id", "page_number", normalised(F.col("text")).alias("text")).where("text <> ''")
+    """Adds to big: from_char, its true start in the joined texts of pages (those of its documents), and found,
+    whether the text itself says so. Without pages, or where no window of the text occurs in them, the stored offsets decide."""
+    mine = latest_pages(pages).select("doc_id", "page_number", normalised(F.col("text")).alias("text")).where("text <> ''")
     where = page_offsets(mine).select("doc_id", "page_number", "page_from")
     seen = _anchor_rows(mine, ["doc_id", "page_number"], False).join(where, ["doc_id", "page_number"])
     spots = seen.select("doc_id", "hash", (F.col("page_from") + F.col("at")).alias("spot"))
@@ -165,13 +166,15 @@ def split_oversized(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT, ove
     oversized chunks with offsets in the document's joined page texts and the pages they touch. A piece that
     touches none (only a separator) has the page before it. Documents without pages keep the corrected stored
     page range; offsets are null only where nothing is known of them."""
-    big = located(oversized(chunks, limit), pages)
+    big = staged(oversized(chunks, limit), "oversized")
+    docs = big.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    pages = pages.join(F.broadcast(docs) if docs.count() <= SEND_DOCS else docs, "doc_id", "left_semi")
+    big = located(big, pages)
     first, last = page_range(F.col("page_start"), F.col("page_end"))
     about = big.select("id", "doc_id", "from_char", "found", first.alias("stored_first"), last.alias("stored_last"))
     cut = split(big.select("id", "text"), limit, overlap).join(about, "id")
     cut = cut.withColumns({"char_start": F.col("from_char") + F.col("piece_start"), "char_end": F.col("from_char") + F.col("piece_end")})
-    docs = about.where("found").select("doc_id").distinct()
-    spans = page_offsets(latest_pages(pages).join(docs, "doc_id", "left_semi"))
+    spans = page_offsets(latest_pages(pages))
     # a page also stands for the separator behind it, where no other page is
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("page_from") / BLOCK), F.floor((F.col("page_to") + 1) / BLOCK))))
     want = cut.where("found").select("id", "piece_index", "doc_id", "char_start", "char_end")
