@@ -209,6 +209,17 @@ def test_joins_and_segments(reader):
     assert reader.segments("theharbour") == ["the", "harbour"] and reader.segments("har bour") == ["harbour"] and reader.segments("of thc bridge") == ["of", "the", "bridge"]
 
 
+def test_decoder_reads_over_blanks_and_line_ends(reader):
+    place = lambda text: {(line, kind, word) for line, kind, word, key in scans.scan_page(text, 99, reader) if not key}
+    assert place("the har\nbour was known") == {(1, "hyphen", "harbour")}  # no hyphen
+    assert place("the bridge\nwas ofthe rnodernharbour") == {(2, "char", "modern")}
+    assert place("was the rnod ern bridge") == {(1, "char", "modern")}
+    assert place("the har\n\nbour was") == place("the har.\nbour was") == place("the xyzzy\nzorix was") == set()
+    accents = scans.Reader({"église": 300, "près": 400, "мост": 500, "через": 300, "of": 8000, "the": 9000})
+    text = "Ofthe église, prèséglise and égl ise.\nМо\nст черезмост"
+    assert scans.repaired(text, accents, set()) == ["Of the église, près église and église. Мост через мост"]
+
+
 @pytest.mark.parametrize("line, page, yes", [("7", 7, True), ("- 7 -", 7, True), ("Page 7 of 9", 7, True), ("[12]", 12, True), ("1 2", 12, True), ("l2", 12, True), ("xii", 12, True), ("p. 3", 3, True), ("8", 7, False), ("The 7 mills", 7, False), ("", 7, False), ("Map 7", 7, False)])
 def test_page_numbers(line, page, yes):
     assert scans.is_page_number(line, page) is yes
