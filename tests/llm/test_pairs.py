@@ -146,6 +146,19 @@ def test_recall_over_many_leaves(spark):
     assert len(pairs(got) & pairs(want)) >= 0.97 * len(pairs(want))
 
 
+def test_every_vector_has_its_nearest(spark):
+    v = cloud(1500, 16).astype(np.float32)
+    v[700:707] = v[3]  # copies
+    ids = [f"p{i:04}" for i in range(1500)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)] + [("q", None)], "id string, vector array<float>")
+    want = true_lists(ids, v.astype(float), least=-1)
+    for block, share in ((8192, 1.0), (200, 0.95)):
+        got = {(r["id"], r["near_id"]) for r in neighbours.nearest(df, 16, block=block).collect()}
+        assert len(got) == 5 * 1500 and len(got & want) >= share * len(want)
+    lone = spark.createDataFrame([("a", [[1.0, 0.0]]), ("b", [[0.0, 1.0]]), ("c", [[-1.0, 0.1]])], "id string, pooled_rows array<array<float>>").withColumn("original", F.col("pooled_rows"))
+    assert neighbours.pages_in_exact_order(lone).count() == 6
+
+
 def test_unusable_vectors_copies_and_ties(spark):
     v = cloud(100, 8).astype(np.float32)
     rows = [(f"p{i:03}", x.tolist()) for i, x in enumerate(v)]

@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector, down to a least cosine.
+"""The most similar vectors of every vector: the k nearest, or those of them down to a least cosine.
 
 Unit vectors are projected by PROJECTED Gaussian (2-stable) directions: a coordinate of the difference of two
 vectors at distance d is normal with deviation d, and the squared length of the projected difference is d squared
@@ -8,6 +8,9 @@ the radius lies in them and stops when the leaves left hold less than 1 - COVERE
 neighbours that pass the chi-square test for the radius are verified with the full vectors.
 As a pair is found from either end, it is missed only if both searches stop too early.
 
+The radius is that of the least cosine (neighbours) or each vector's own (nearest): the distance of its k-th best in
+its own block, beyond which none of its k nearest can lie.
+
 The unit of work is a block of about BLOCK vectors of a leaf with the vectors that search it; a crowded leaf is
 several blocks. Blocks return at most k neighbours a vector. Equal vectors form classes and are searched once.
 """
@@ -32,6 +35,8 @@ PROJECTED = 16
 SAMPLE = 20_000
 BLOCK = 8192
 COVERED = 0.95
+#: The same where lists are wanted whole: a list is missing a neighbour that the other end doesn't need.
+LIST_COVERED = 0.99
 #: Quantile of the chi-square distribution with PROJECTED degrees of freedom at 0.9995.
 CHI_SQUARE = 41.3
 SEND_IDS = 500_000
@@ -84,8 +89,8 @@ def _below(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(1.5976 * z + 0.070566 * z**3, -50, 50)))
 
 
-def search_order(tree: Tree, points: np.ndarray, radius: float, covered: float = COVERED) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of the leaves that each projected point searches."""
+def search_order(tree: Tree, points: np.ndarray, radius: float | np.ndarray, covered: float = COVERED) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of the leaves that each projected point searches. A radius for all, or a column of their own."""
     inner = len(tree.axis)
     mass = np.ones((len(points), 1))
     node = 0
@@ -168,12 +173,9 @@ def _class_keys() -> list[Column]:
     return [F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")]
 
 
-def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, name: str = "neighbours", block: int = BLOCK) -> DataFrame:
-    """id, near_id, cosine, rank: for each usable vector of points (id, vector) its up to k most similar others
-    with at least that cosine; ties go to the smaller id.
-
-    Null, all-zero, NaN-holding vectors and those of another length take no part, nor do rows without an id. A row
-    written twice counts once. An empty table gives no row."""
+def _prepared(points: DataFrame, dim: int, name: str, block: int):
+    """Members of the classes of equal vectors that have several (rep, id), the vectors to search (id, vector), one
+    of each class, and the broadcast tree."""
     spark = points.sparkSession
     mine = points.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
     rows = points.count()
@@ -186,29 +188,23 @@ def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, na
     every = max(1, rows // SAMPLE)
     sampled = reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(2 * SAMPLE).select("vector").toArrow()
     sample = unit(_matrix(sampled["vector"], dim)) if sampled.num_rows else np.zeros((0, dim))
-    sent = spark.sparkContext.broadcast(fit(sample, dim, rows, block))
+    return members, reps, spark.sparkContext.broadcast(fit(sample, dim, rows, block))
+
+
+def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, name: str = "neighbours", block: int = BLOCK) -> DataFrame:
+    """id, near_id, cosine, rank: for each usable vector of points (id, vector) its up to k most similar others
+    with at least that cosine; ties go to the smaller id.
+
+    Null, all-zero, NaN-holding vectors and those of another length take no part, nor do rows without an id. A row
+    written twice counts once. An empty table gives no row."""
+    members, reps, sent = _prepared(points, dim, name, block)
     radius = math.sqrt(2 - 2 * cosine)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            projected = unit(_matrix(batch.column(1), dim)) @ tree.directions
-            own = _leaf(projected, tree.axis, tree.at)
-            hashes = np.array([zlib.crc32(x.encode()) for x in batch.column(0).to_pylist()], dtype=np.int64)
-            part = hashes % tree.blocks[own]
-            row, leaf = search_order(tree, projected, radius)
-            # a search of a leaf goes to each of its blocks; in the own leaf, to the blocks behind the own one
-            counts = tree.blocks[leaf]
-            row, leaf = np.repeat(row, counts), np.repeat(leaf, counts)
-            sub = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            go = (leaf != own[row]) | (sub > part[row])
-            row, to = row[go], (tree.first[leaf] + sub)[go]
-            target = np.concatenate([tree.first[own] + part, to]).astype(np.int32)
-            asks = np.concatenate([np.zeros(len(own), bool), np.ones(len(row), bool)])
-            index = pa.array(np.concatenate([np.arange(len(own)), row]))
-            yield pa.RecordBatch.from_arrays([pa.array(target), pa.array(asks), batch.column(0).take(index), batch.column(1).take(index)], ["block", "asks", "id", "vector"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(_routed(tree, batch, dim, radius), ["block", "asks", "id", "vector"])
 
     def meet(rows: pa.Table) -> pa.Table:
         directions = sent.value.directions
@@ -231,6 +227,93 @@ def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, na
     return _lists(both, members, k)
 
 
+def _own_block(tree: Tree, ids: pa.Array, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf and block within it of projected points."""
+    own = _leaf(projected, tree.axis, tree.at)
+    hashes = np.array([zlib.crc32(x.encode()) for x in ids.to_pylist()], dtype=np.int64)
+    return own, hashes % tree.blocks[own]
+
+
+def _routed(tree: Tree, batch: pa.RecordBatch, dim: int, radius: float | np.ndarray, covered: float = COVERED) -> list[pa.Array]:
+    """block, asks and the columns of batch (id, vector, ...) for every block that a vector lies in or searches."""
+    projected = unit(_matrix(batch.column(1), dim)) @ tree.directions
+    own, part = _own_block(tree, batch.column(0), projected)
+    row, leaf = search_order(tree, projected, radius, covered)
+    # a search of a leaf goes to each of its blocks; in the own leaf, to the blocks behind the own one
+    counts = tree.blocks[leaf]
+    row, leaf = np.repeat(row, counts), np.repeat(leaf, counts)
+    sub = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    go = (leaf != own[row]) | (sub > part[row])
+    row, to = row[go], (tree.first[leaf] + sub)[go]
+    target = np.concatenate([tree.first[own] + part, to]).astype(np.int32)
+    asks = np.concatenate([np.zeros(len(own), bool), np.ones(len(row), bool)])
+    index = pa.array(np.concatenate([np.arange(len(own)), row]))
+    return [pa.array(target), pa.array(asks), *(c.take(index) for c in batch.columns)]
+
+
+def nearest(points: DataFrame, dim: int, k: int = 5, name: str = "nearest", block: int = BLOCK) -> DataFrame:
+    """id, near_id, cosine, rank: for each usable vector of points (id, vector) its k most similar others, however far
+    they are (fewer only where there are no more); ties go to the smaller id. What counts as usable is as in
+    neighbours."""
+    members, reps, sent = _prepared(points, dim, name, block)
+    step = lambda n: max(64, (1 << 22) // max(1, n))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                own, part = _own_block(tree, batch.column(0), unit(_matrix(batch.column(1), dim)) @ tree.directions)
+                yield pa.RecordBatch.from_arrays([pa.array((tree.first[own] + part).astype(np.int32)), *batch.columns], ["block", "id", "vector"])
+
+    def bound(rows: pa.Table) -> pa.Table:
+        ids = np.array(rows["id"].to_pylist(), dtype=object)
+        here = _once(ids, np.arange(len(ids)))
+        v = unit(_matrix(rows["vector"], dim))[here]
+        least = np.full(len(v), -1.0)
+        if len(v) > k:
+            for s in range(0, len(v), step(len(v))):
+                scores = v[s : s + step(len(v))] @ v.T
+                scores[np.arange(len(scores)), np.arange(s, s + len(scores))] = -2
+                least[s : s + len(scores)] = np.partition(scores, len(v) - k, axis=1)[:, len(v) - k]
+        kept = rows.take(pa.array(here))
+        return pa.table({"id": kept["id"], "vector": kept["vector"], "least": pa.array(np.clip(least, -1, 1))})
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                radius = np.sqrt(np.maximum(1e-12, 2 - 2 * batch.column(2).to_numpy()))[:, None]
+                yield pa.RecordBatch.from_arrays(_routed(sent.value, batch, dim, radius, LIST_COVERED), ["block", "asks", "id", "vector", "least"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, asks, least = np.array(rows["id"].to_pylist(), dtype=object), rows["asks"].to_numpy(), rows["least"].to_numpy() - 1e-9
+        vectors = unit(_matrix(rows["vector"], dim))
+        a, b, c = [], [], []
+        here, there = _once(ids, np.flatnonzero(~asks)), _once(ids, np.flatnonzero(asks))
+        for q, same in ((here, True), (there, False)):
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for s in range(0, len(q), step(len(here))):
+                part = q[s : s + step(len(here))]
+                scores = vectors[part] @ vectors[here].T
+                near = scores >= np.minimum(least[part][:, None], least[here])
+                if same:
+                    near &= np.arange(len(here)) > np.arange(s, s + len(part))[:, None]
+                i, j = np.nonzero(near)
+                found.append((i + s, j, scores[i, j]))
+            i, j, x = (np.concatenate(f) for f in zip(*found))
+            if len(i):
+                keep = _best(i, j, x, ids[q], ids[here], k, same)
+                a.extend(ids[q][i[keep]])
+                b.extend(ids[here][j[keep]])
+                c.extend(x[keep])
+        return pa.table({"rep": pa.array(a + b, pa.string()), "other": pa.array(b + a, pa.string()), "c": pa.array(np.round(c + c, 12), pa.float64())})
+
+    placed = reps.mapInArrow(place, "block int, id string, vector array<float>")
+    bounded = placed.groupBy("block").applyInArrow(bound, "id string, vector array<float>, least double")
+    routed = bounded.mapInArrow(route, "block int, asks boolean, id string, vector array<float>, least double")
+    links = routed.groupBy("block").applyInArrow(meet, "rep string, other string, c double").where("rep <> other").distinct()
+    return _lists(links, members, k)
+
+
 def _once(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions of the first row of each id."""
     seen: dict = {}
@@ -268,14 +351,15 @@ def page_vectors(pages: DataFrame, rows: int) -> DataFrame:
     return pages.where(F.size("pooled_rows") == rows).select("id", F.flatten("pooled_rows").alias("vector"))
 
 
-def page_neighbours(pages: DataFrame, k: int = 5, cosine: float = 0.92) -> DataFrame:
-    """Neighbours among pages with equally many pooled rows; pages without vectors take no part. The kinds of
-    grids are few, each is searched by itself."""
+def page_neighbours(pages: DataFrame, k: int = 5, cosine: float | None = 0.92) -> DataFrame:
+    """Neighbours among pages with equally many pooled rows, without a least cosine the k nearest; pages without
+    vectors take no part. The kinds of grids are few, each is searched by itself."""
     kinds = pages.where("size(pooled_rows) > 0").select(F.size("pooled_rows").alias("n"), F.size(F.flatten("pooled_rows")).alias("dim")).distinct().orderBy("n", "dim").collect()
     out = pages.sparkSession.createDataFrame([], "id string, near_id string, cosine double, rank int")
     for r in kinds:
         if (r["dim"] or 0) > 0:
-            out = out.unionByName(neighbours(page_vectors(pages, r["n"]), r["dim"], k, cosine, f"pages-{r['n']}"))
+            rows, name = page_vectors(pages, r["n"]), f"pages-{r['n']}"
+            out = out.unionByName(nearest(rows, r["dim"], k, name) if cosine is None else neighbours(rows, r["dim"], k, cosine, name))
     return out
 
 
@@ -286,9 +370,9 @@ def found(points: DataFrame, pages: DataFrame, dim: int = 64) -> DataFrame:
 
 
 def pages_in_exact_order(pages: DataFrame) -> DataFrame:
-    """id, near_id, cosine, score, rank: the neighbours of pages by pooled rows, in the order of late interaction
+    """id, near_id, cosine, score, rank: the k nearest of every page by pooled rows, in the order of late interaction
     between the full vectors of both (the mean over the page's tokens of the best product)."""
-    lists = staged(page_neighbours(pages), "page-lists")
+    lists = staged(page_neighbours(pages, cosine=None), "page-lists")
     full = pages.where("size(original) > 0").dropDuplicates(["id"]).select("id", F.col("original").cast("array<array<double>>").alias("original"))
     mine, other = full.withColumnRenamed("original", "qv"), full.select(F.col("id").alias("near_id"), F.col("original").alias("dv"))
     score = max_sim(F.col("qv"), F.col("dv")) / F.size("qv")

@@ -51,6 +51,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "points"), table(spark, folder, "page_embeddings"))
 
 
+def p5_points(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "points"), 64)
+
+
 def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.pages_in_exact_order(table(spark, folder, "page_embeddings"))
 
@@ -75,7 +79,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return offence.rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_points, p5_pages, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1500 AND id IS NOT NULL",
 }
