@@ -239,6 +239,15 @@ def test_scan_rows(spark):
     assert scans.found(pages.limit(0), words).count() == 0
 
 
+def test_pages_without_damaged_places_come_back(spark):
+    clean = "The council met in the old hall and agreed\nthat the bridge was to be repaired before\nthe winter came."
+    listing = "\n".join(f"Apples {i}: {i * 37}" for i in range(30))
+    pages = spark.createDataFrame([("a", 1, clean, None), ("a", 2, listing, None), ("a", 3, None, None), ("a", 4, " ", None)], "doc_id string, page_number int, text string, extracted_at timestamp")
+    words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    assert scans.found(pages, words).count() == 0
+    assert [tuple(r) for r in scans.paragraphs(pages, words).collect()] == [("a", 1, 0, clean.replace("\n", " "))]
+
+
 def test_paragraphs_by_gaps_and_short_lines():
     lines = ["A first line that goes on and on here", "and ends.", "A second paragraph begins in this line", "and goes on"]
     assert scans.paragraph_breaks(lines, [False, False, True, False]) == [True, False, True, False]
