@@ -290,6 +290,20 @@ def test_index_equals_brute_force(index):
         assert np.allclose(got, want)
 
 
+def test_all_words_have_their_document_frequencies(spark, monkeypatch):
+    plain = "seldom granite wharves"
+    rows = [(i, "x", f"Old {plain} stand here.") for i in range(300)] + [(900, "x", f"Marlow is an idiot {plain}"), (901, "x", f"Marlow is an idiot {plain}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    counts = {r["term"]: r["n"] for r in offence.term_counts(df).collect()}
+    assert counts["granite"] == counts["seldom granite"] == 302 and counts[""] == 302
+    index = offence.Index(counts, counts[""])
+    assert index.idf("granite") < 1 < index.idf("never met")
+    sent = sorted(offence.scored(df).select("doc_id", "score").collect())
+    assert [r["doc_id"] for r in sent if r["score"] >= offence.FLAGGED] == [900, 901]
+    monkeypatch.setattr(offence, "SEND_TERMS", 0)
+    assert sorted(offence.scored(df).select("doc_id", "score").collect()) == sent
+
+
 def test_offence_rows(spark):
     rows = [(1, "x", "The mill is old."), (2, "x", "you are all losers and nobody here can write"), (3, None, None), (4, "y", ""), (2, "x", "you are all losers and nobody here can write"), (5, "y", LONG + " go kill yourself")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumn("score", F.lit(3))

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.examples import EXAMPLES, INSULTS
+from vellum.session import staged
 
 #: Examples that vote, the least cosine at which they do, and the score from which a text counts as offending.
 NEAREST, LEAST_COSINE, FLAGGED = 5, 0.42, 0.5
 BLOCK = 8
 CACHED = 200_000
+#: Terms with their counts that are sent to the workers; more are joined to the texts. Terms counted in a task at once.
+SEND_TERMS, HELD_TERMS = 500_000, 300_000
 
 _segments = re.compile(r"\n|(?<=[.;!?。])\s+|(?<=。)|<!--|-->|\[\[|\]\]|\{\{|\}\}|==+|\||</?\w+[^>\n]{0,80}>")
 _emphasis = re.compile("''+")
@@ -121,7 +124,7 @@ class Index:
 
     def __init__(self, counts: dict[str, int], documents: int) -> None:
         self.counts, self.documents = counts, documents
-        self.unknown = math.log(1 + documents)
+        self.near_counts: dict[str, int] = {}  # of the terms of the text at hand, where counts aren't sent whole
         self.postings: dict[str, list[tuple[int, float, list[tuple[int, float]]]]] = {}
         vectors = []
         for words in _example_terms:
@@ -142,7 +145,10 @@ class Index:
     def idf(self, term: str) -> float:
         if term == "<insult>":
             return math.log(1 + self.documents / (1 + sum(self.counts.get(w, 0) for w in _insults)))
-        return math.log(1 + self.documents / (1 + self.counts.get(term, 0))) if term in VOCABULARY else self.unknown
+        if term in VOCABULARY:
+            return math.log(1 + self.documents / (1 + self.counts.get(term, 0)))
+        # a term that isn't listed is at hand in one text
+        return math.log(1 + self.documents / (1 + (self.counts.get(term) or self.near_counts.get(term, 1))))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         """TF-IDF of words and pairs. A pair counts half: its words are in the vector already. Placeholders say
@@ -203,38 +209,55 @@ class Index:
         self._seen[segment] = out
         return out
 
+    def segments(self, text: str | None) -> Iterator[str]:
+        for segment in _segments.split(_emphasis.sub("", text or "")):
+            if segment and len(segment := segment.strip()) > 3:
+                yield segment
+
+    def terms(self, text: str | None) -> set[str]:
+        """The terms of a text whose counts its score may need: those of segments with a term of the examples."""
+        out: set[str] = set()
+        for segment in self.segments(text):
+            words = terms_of(segment, self.masked)
+            both = {*words, *pairs_of(words)}
+            if not VOCABULARY.isdisjoint(both):
+                out |= {t for t in both if "<" not in t and t not in VOCABULARY}
+        return out
+
     def score(self, text: str | None) -> tuple[float, str | None, str | None, str | None]:
         """(score, category, segment, example) of a text: those of its worst segment; 0 and nulls without one."""
         worst, where = None, None
-        for segment in _segments.split(_emphasis.sub("", text or "")):
-            if segment and len(segment := segment.strip()) > 3:
-                v = self.verdict(segment)
-                if v and (worst is None or v.score > worst.score):
-                    worst, where = v, segment
+        for segment in self.segments(text):
+            v = self.verdict(segment)
+            if v and (worst is None or v.score > worst.score):
+                worst, where = v, segment
         return (worst.score, worst.category, where, EXAMPLES[worst.example][0]) if worst else (0.0, None, None, None)
 
 
-def term_counts(documents: DataFrame) -> tuple[dict[str, int], int]:
-    """Number of documents with each term of the examples' vocabulary, and of all documents. Each task counts what
-    it reads; the result has as many rows as the vocabulary."""
+def term_counts(documents: DataFrame) -> DataFrame:
+    """term, n: the number of documents with each word and pair of words, of those in several documents or in the
+    examples' vocabulary, and with an empty term the number of all documents. Each task counts what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         rows = 0
         words_of = re.compile(r"[^\W_]+").findall
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
                 if text:
                     words = words_of(folded(text))
-                    counts.update(_counted.intersection(words))
-                    counts.update(VOCABULARY.intersection(pairs_of(words)))
-        counts["\0rows"] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                    counts.update({*words, *pairs_of(words)})
+                    if len(counts) > HELD_TERMS:
+                        yield emit()
+                        counts.clear()
+        counts[""] = rows
+        yield emit()
 
-    got = documents.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    counts = dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
-    return counts, counts.pop("\0rows", 0)
+    kept = sorted({*_counted, ""})
+    summed = documents.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return summed.where((F.col("n") > 1) | F.col("term").isin(kept))
 
 
 _indexes: dict[int, Index] = {}
@@ -250,20 +273,43 @@ def _index(sent) -> Index:
 
 def scored(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, source, score, category, segment, example of every row. Null and empty texts have score 0 and nulls;
-    repeated rows, null keys and null sources are kept. Texts aren't shuffled."""
-    sent = documents.sparkSession.sparkContext.broadcast(term_counts(documents))
+    repeated rows, null keys and null sources are kept. Texts aren't shuffled unless the counts are too many to send."""
+    counted = staged(term_counts(documents), "terms")
+    whole = counted.count() <= SEND_TERMS
+    got = (counted if whole else counted.where(F.col("term").isin(sorted({*_counted, ""})))).toArrow()
+    counts = dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
+    total = counts.pop("", 0)
+    sent = documents.sparkSession.sparkContext.broadcast((counts, total))
     kind = documents.schema[key].dataType.simpleString()
     names = [key, "source", "score", "category", "segment", "example"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(sent)
         for batch in batches:
-            rows = [index.score(t) for t in batch.column(2).to_pylist()]
+            rows = []
+            for text, listed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                index.near_counts = dict((x["term"], x["n"]) for x in listed or ())
+                rows.append(index.score(text))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             kinds = (pa.float64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 
-    return documents.select(F.col(key), "source", "text").mapInArrow(run, f"`{key}` {kind}, source string, score double, category string, segment string, example string")
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(sent)
+        for batch in batches:
+            pairs = [(h, t) for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in index.terms(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.string())], ["h", "term"])
+
+    rows = documents.select(F.col(key), "source", "text")
+    listing = "array<struct<term: string, n: bigint>>"
+    if whole:
+        rows = rows.withColumn("listed", F.lit(None).cast(listing))
+    else:  # the counts of a text's own terms, by a shuffle
+        hashed = rows.withColumn("h", F.sha2("text", 256))
+        own = hashed.select("h", "text").where("text IS NOT NULL").mapInArrow(needed, "h string, term string").distinct()
+        lists = own.join(counted, "term").groupBy("h").agg(F.collect_list(F.struct("term", "n")).alias("listed"))
+        rows = hashed.join(lists, "h", "left").select(F.col(key), "source", "text", F.col("listed").cast(listing))
+    return rows.mapInArrow(run, f"`{key}` {kind}, source string, score double, category string, segment string, example string")
 
 
 def found(documents: DataFrame) -> DataFrame:
