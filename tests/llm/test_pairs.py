@@ -159,6 +159,38 @@ def test_every_vector_has_its_nearest(spark):
     assert neighbours.pages_in_exact_order(lone).count() == 6
 
 
+def test_tree_deepens_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLED", 40)
+    v = cloud(4000, 32).astype(np.float32)
+    ids = [f"p{i:04}" for i in range(4000)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id string, vector array<float>")
+    _, _, sent = neighbours._prepared(df, 32, "deep", 100)
+    assert sent.value.leaves == 64 and sent.value.blocks.sum() < 100  # the sample alone gives 4 or 8
+    points = neighbours.unit(v.astype(float)) @ sent.value.directions
+    sizes = np.bincount(neighbours._leaf(sent.value, points), minlength=64)
+    assert sizes.max() < 250 and (sizes > 0).all()
+    got = {tuple(sorted((r["id"], r["near_id"]))) for r in neighbours.neighbours(df, 32, block=100).collect()}
+    want = {tuple(sorted(p)) for p in true_lists(ids, v.astype(float))}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_routes_of_a_deep_tree_stay_few():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies = []
+    for rows in (10**7, 10**9):
+        depth = neighbours.depths(rows, 1 << 62)[0]
+        directions = neighbours.directions_of(64)
+        tree = neighbours._tree(directions, neighbours._grown(x @ directions, min(depth, 11)), {}, 8192 << min(depth, 11), 8192)
+        grown = neighbours._grown(x @ directions, depth - tree.leaves.bit_length() + 1)
+        tree = neighbours._tree(directions, (tree.axis.tolist(), tree.at.tolist(), None, [1 / tree.leaves] * tree.leaves), {k: grown[:2] + (grown[3],) for k in range(tree.leaves)} if depth > 11 else {}, rows, 8192)
+        row, _ = neighbours.search_order(tree, x[:500] @ directions, 0.4)
+        copies.append(len(row) / 500)
+    assert copies[1] < 12 * copies[0] and copies[1] < 400  # a hundred times the rows
+
+
 def test_unusable_vectors_copies_and_ties(spark):
     v = cloud(100, 8).astype(np.float32)
     rows = [(f"p{i:03}", x.tolist()) for i, x in enumerate(v)]

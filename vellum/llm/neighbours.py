@@ -2,28 +2,32 @@
 
 Unit vectors are projected by PROJECTED Gaussian (2-stable) directions: a coordinate of the difference of two
 vectors at distance d is normal with deviation d, and the squared length of the projected difference is d squared
-times a chi-square variable. A kd-tree over the projections, fitted on a bounded sample, cuts the collection into
-leaves; every vector is indexed. A vector searches the leaves in the order of the probability that a neighbour at
-the radius lies in them and stops when the leaves left hold less than 1 - COVERED of it. In a leaf, the projected
-neighbours that pass the chi-square test for the radius are verified with the full vectors.
-As a pair is found from either end, it is missed only if both searches stop too early.
+times a chi-square variable. A kd-tree over the projections cuts the collection into leaves of about BLOCK vectors;
+its upper levels are fitted on a bounded sample in the driver, deeper ones leaf by leaf in the tasks, so that its
+depth follows the number of rows. Every vector is indexed.
+
+A vector searches the leaves in the order of the probability that a neighbour within its radius lies in them, and
+stops when those left hold less than 1 - COVERED of it. In a leaf, projected neighbours are verified with the full
+vectors by increments, nearest first: after the first increment the chi-square test with the k-th distance known by
+then says which of the others can still be among the k nearest; these are verified and no more.
 
 The radius is that of the least cosine (neighbours) or each vector's own (nearest): the distance of its k-th best in
-its own block, beyond which none of its k nearest can lie.
+its own block, beyond which none of its k nearest can lie. As a pair is found from either end, it is missed only if
+both searches stop too early.
 
-The unit of work is a block of about BLOCK vectors of a leaf with the vectors that search it; a crowded leaf is
-several blocks. Blocks return at most k neighbours a vector. Equal vectors form classes and are searched once.
+A block's vectors come first in its partition and are held, the vectors that search it stream past them; a crowded
+leaf is several blocks. Equal vectors form classes and are searched once, repeated rows are merged before.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,23 +36,29 @@ from vellum.functions.vectors import max_sim, usable
 from vellum.session import staged
 
 PROJECTED = 16
-SAMPLE = 20_000
+#: Rows, about, of the sample that the upper levels of the tree are fitted on, and the fewest of it in a leaf.
+SAMPLE, LEAST_SAMPLED = 20_000, 16
 BLOCK = 8192
 COVERED = 0.95
 #: The same where lists are wanted whole: a list is missing a neighbour that the other end doesn't need.
 LIST_COVERED = 0.99
+#: Branches of the tree that hold less of the probability than this are not followed.
+FAINT = 2e-4
 #: Quantile of the chi-square distribution with PROJECTED degrees of freedom at 0.9995.
 CHI_SQUARE = 41.3
+#: Projected neighbours, in multiples of k, that are verified before the first stopping test.
+FIRST = 4
 SEND_IDS = 500_000
 
 
 @dataclass(frozen=True)
 class Tree:
-    """A complete kd-tree: node n has the children 2n + 1 and 2n + 2; leaves follow the inner nodes."""
+    """A kd-tree: the children of an inner node are nodes, or ~leaf; root is 0, or -1 where there is one leaf only."""
 
     directions: np.ndarray
     axis: np.ndarray
     at: np.ndarray
+    child: np.ndarray  # nodes x 2
     blocks: np.ndarray  # number of blocks of each leaf
     first: np.ndarray  # number of its first block
 
@@ -56,32 +66,108 @@ class Tree:
     def leaves(self) -> int:
         return len(self.blocks)
 
+    @property
+    def root(self) -> int:
+        return 0 if len(self.axis) else -1
 
-def fit(sample: np.ndarray, dim: int, rows: int, block: int = BLOCK, seed: int = 7) -> Tree:
-    """A tree with leaves of about one block for so many rows, from a sample of unit vectors."""
-    directions = np.random.default_rng(seed).standard_normal((dim, PROJECTED))
-    points = sample @ directions
-    depth = max(0, math.ceil(math.log2(max(1.0, rows / block)))) if len(points) else 0
-    depth = min(depth, max(0, int(math.log2(max(1, len(points) / 16)))))
-    inner = (1 << depth) - 1
-    axis, at = np.zeros(inner, np.int64), np.zeros(inner)
-    members = [np.arange(len(points))]
-    for node in range(inner):
+
+def _grown(points: np.ndarray, depth: int) -> tuple[list[int], list[float], list[int], list[float]]:
+    """Axis and cut of the inner nodes of a complete tree of so many levels, level by level, and the shares of its
+    leaves in the points. The axis is that of the largest variance, the cut its median."""
+    axis, at, members = [], [], [np.arange(len(points))]
+    for node in range((1 << depth) - 1):
         own = members[node]
-        axis[node] = int(np.argmax(points[own].var(axis=0))) if len(own) else 0
-        along = points[own, axis[node]]
-        at[node] = float(np.median(along)) if len(own) else 0.0
-        members += [own[along < at[node]], own[along >= at[node]]]
-    share = np.bincount(_leaf(points, axis, at), minlength=1 << depth) / max(1, len(points))
-    blocks = np.maximum(1, np.ceil(share * rows / (2 * block))).astype(np.int64)
-    return Tree(directions, axis, at, blocks, np.concatenate([[0], np.cumsum(blocks)[:-1]]))
+        axis.append(int(np.argmax(points[own].var(axis=0))) if len(own) else node % PROJECTED)
+        along = points[own, axis[-1]]
+        at.append(float(np.median(along)) if len(own) else 0.0)
+        members += [own[along < at[-1]], own[along >= at[-1]]]
+    shares = [len(m) / max(1, len(points)) for m in members[(1 << depth) - 1 :]]
+    return axis, at, list(range(1 << depth)), shares
+
+
+def _tree(directions: np.ndarray, upper: tuple, lower: dict[int, tuple[list[int], list[float], list[float]]], rows: int, block: int) -> Tree:
+    """A tree from its upper levels and, by leaf of these, the lower ones (axes, cuts, shares of the leaves)."""
+    axis, at, child, shares = list(upper[0]), list(upper[1]), [], []
+    inner = len(axis)
+    hang: list[tuple[int, int, int]] = []  # node, side, leaf of the upper tree
+    for node in range(inner):
+        for side, below in enumerate((2 * node + 1, 2 * node + 2)):
+            if below < inner:
+                child.append((node, side, below))
+            else:
+                hang.append((node, side, below - inner))
+    if not inner:
+        hang = [(-1, 0, 0)]
+    links = np.zeros((inner + sum(len(x[0]) for x in lower.values()), 2), np.int64)
+    for node, side, below in child:
+        links[node, side] = below
+    for node, side, leaf in hang:
+        axes, cuts, parts = lower.get(leaf, ((), (), (1.0,)))
+        offset, n = len(axis), len(axes)
+        axis += axes
+        at += cuts
+        entry = offset if n else ~len(shares)
+        if node >= 0:
+            links[node, side] = entry
+        for k in range(n):
+            for s, below in enumerate((2 * k + 1, 2 * k + 2)):
+                links[offset + k, s] = offset + below if below < n else ~(len(shares) + below - n)
+        shares += [upper[3][leaf] * x for x in parts]
+    blocks = np.maximum(1, np.ceil(np.array(shares) * rows / (2 * block))).astype(np.int64)
+    return Tree(directions, np.array(axis, np.int64), np.array(at, float), links, blocks, np.concatenate([[0], np.cumsum(blocks)[:-1]]))
+
+
+def directions_of(dim: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, PROJECTED))
+
+
+def depths(rows: int, sampled: int, block: int = BLOCK) -> tuple[int, int]:
+    """Levels of the tree that the sample in the driver gives, and levels below them."""
+    wanted = max(0, math.ceil(math.log2(max(1.0, rows / block)))) if sampled else 0
+    upper = min(wanted, max(0, int(math.log2(max(1, sampled / LEAST_SAMPLED)))))
+    return upper, wanted - upper
+
+
+def fit(sample: np.ndarray, dim: int, rows: int, block: int = BLOCK) -> Tree:
+    """A tree with leaves of about one block for so many rows, as deep as a sample of unit vectors allows."""
+    directions = directions_of(dim)
+    return _tree(directions, _grown(sample @ directions, depths(rows, len(sample), block)[0]), {}, rows, block)
+
+
+def deepened(tree: Tree, reps: DataFrame, dim: int, rows: int, block: int) -> Tree:
+    """The tree with the levels that its sample didn't allow, fitted in the tasks on LEAST_SAMPLED rows for each leaf
+    to come. What comes back are two numbers a leaf."""
+    levels = depths(rows, 1 << 62, block)[0] - int(math.log2(tree.leaves))
+    if levels <= 0:
+        return tree
+    sent = reps.sparkSession.sparkContext.broadcast(tree)
+    every = max(1, rows // (tree.leaves * LEAST_SAMPLED << levels))
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points = unit(_matrix(batch.column(0), dim)) @ sent.value.directions
+                flat = pa.array(points.reshape(-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * PROJECTED), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(_leaf(sent.value, points).astype(np.int32)), lists], ["leaf", "point"])
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        axis, at, _, shares = _grown(np.vstack(rows["point"].to_numpy()), levels)
+        return pd.DataFrame({"leaf": rows["leaf"].iloc[:1], "axis": [axis], "at": [at], "shares": [shares]})
 
-def _leaf(points: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(points), np.int64)
-    for _ in range((len(axis) + 1).bit_length() - 1):
-        node = 2 * node + 1 + (points[np.arange(len(points)), axis[node]] >= at[node])
-    return node - len(axis)
+    drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(every)) == 0).select("vector")
+    placed = drawn.mapInArrow(place, "leaf int, point array<double>")
+    got = placed.groupBy("leaf").applyInPandas(grow, "leaf int, axis array<int>, at array<double>, shares array<double>").collect()
+    upper = (tree.axis.tolist(), tree.at.tolist(), None, [1 / tree.leaves] * tree.leaves)
+    return _tree(tree.directions, upper, {r["leaf"]: (list(r["axis"]), list(r["at"]), list(r["shares"])) for r in got}, rows, block)
+
+
+def _leaf(tree: Tree, points: np.ndarray) -> np.ndarray:
+    node = np.full(len(points), tree.root, np.int64)
+    while len(at := np.flatnonzero(node >= 0)):
+        here = node[at]
+        node[at] = tree.child[here, (points[at, tree.axis[here]] >= tree.at[here]).astype(np.int64)]
+    return ~node
 
 
 def _below(z: np.ndarray) -> np.ndarray:
@@ -90,21 +176,33 @@ def _below(z: np.ndarray) -> np.ndarray:
 
 
 def search_order(tree: Tree, points: np.ndarray, radius: float | np.ndarray, covered: float = COVERED) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of the leaves that each projected point searches. A radius for all, or a column of their own."""
-    inner = len(tree.axis)
-    mass = np.ones((len(points), 1))
-    node = 0
-    while node < inner:  # level by level
-        width = mass.shape[1]
-        axes, cuts = tree.axis[node : node + width], tree.at[node : node + width]
-        left = _below((cuts - points[:, axes]) / radius)
-        mass = np.stack([mass * left, mass * (1 - left)], axis=2).reshape(len(points), 2 * width)
-        node += width
-    order = np.argsort(-mass, axis=1, kind="stable")
-    sorted_mass = np.take_along_axis(mass, order, axis=1)
-    before = np.cumsum(sorted_mass, axis=1) - sorted_mass
-    row, at = np.nonzero(before < covered)
-    return row, order[row, at]
+    """(row, leaf) of the leaves that each projected point searches, likeliest first. A radius for all, or one each."""
+    radius = np.broadcast_to(np.asarray(radius, float).reshape(-1), len(points)) if np.ndim(radius) else np.full(len(points), float(radius))
+    step = max(64, (1 << 21) // max(1, min(tree.leaves, 4096)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s in range(0, len(points), step):
+        x, r = points[s : s + step], radius[s : s + step]
+        row, node, mass = np.arange(len(x)), np.full(len(x), tree.root, np.int64), np.ones(len(x))
+        rows, leaves, masses = [], [], []
+        while len(row):
+            done = node < 0
+            rows.append(row[done])
+            leaves.append(~node[done])
+            masses.append(mass[done])
+            row, node, mass = row[~done], node[~done], mass[~done]
+            left = _below((tree.at[node] - x[row, tree.axis[node]]) / r[row])
+            row, node, mass = np.concatenate([row, row]), tree.child[node].T.reshape(-1), np.concatenate([mass * left, mass * (1 - left)])
+            kept = mass >= FAINT
+            row, node, mass = row[kept], node[kept], mass[kept]
+        row, leaf, mass = np.concatenate(rows), np.concatenate(leaves), np.concatenate(masses)
+        order = np.lexsort((leaf, -mass, row))
+        row, leaf, mass = row[order], leaf[order], mass[order]
+        total = np.cumsum(mass) - mass
+        begins = np.flatnonzero(np.diff(row, prepend=-1))
+        before = total - np.repeat(total[begins], np.diff(np.append(begins, len(row))))
+        go = before < covered
+        found.append((row[go] + s, leaf[go]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -119,117 +217,85 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1)[:, None]
 
 
-def close_pairs(q: np.ndarray, p: np.ndarray, directions: np.ndarray, cosine: float, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q and p with at least that cosine, and the cosine; of a crowd only those among the k best of either
-    end. same: q is p, and each pair comes once."""
-    reach = (2 - 2 * cosine) * CHI_SQUARE
-    qp, pp = (q @ directions).astype(np.float32), (p @ directions).astype(np.float32)
-    left = np.concatenate([-2 * qp, np.sum(qp * qp, 1)[:, None], np.ones((len(qp), 1), np.float32)], axis=1)
-    right = np.concatenate([pp, np.ones((len(pp), 1), np.float32), np.sum(pp * pp, 1)[:, None]], axis=1).T.copy()
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(64, (1 << 22) // max(1, len(p)))
-    for s in range(0, len(q), step):
-        passed = left[s : s + step] @ right <= reach * 1.0001
-        if same:
-            passed &= np.arange(len(p)) > np.arange(s, min(s + step, len(q)))[:, None]
-        i, j = np.nonzero(passed)
-        if len(i) > 60 * step:  # a crowd: whole products, and only the best of each row and column go on
-            scores = np.where(passed, q[s : s + step] @ p.T, -1)
-            keep = np.zeros(scores.shape, bool)
-            for axis in (0, 1):
-                n = scores.shape[axis]
-                if n > k:  # ties at the k-th place stay, so that ids decide later
-                    keep |= scores >= np.take(np.partition(scores, n - k, axis=axis), [n - k], axis=axis)
-                else:
-                    keep[:] = True
-            i, j = np.nonzero(keep & (scores >= cosine))
-            c = scores[i, j]
-        else:
-            c = np.einsum("ij,ij->i", q[s + i], p[j])
-        ok = c >= cosine
-        found.append((i[ok] + s, j[ok], c[ok]))
-    i, j, c = (np.concatenate(x) for x in zip(*found))
-    return i, j, c
-
-
-def _best(i: np.ndarray, j: np.ndarray, c: np.ndarray, qid: np.ndarray, pid: np.ndarray, k: int, same: bool) -> np.ndarray:
-    """Which pairs are among the k best of their row or column (of either end, if both are one list)."""
-    c = np.round(c, 12)
-    ends = [(i, j, pid, c), (j, i, qid, c)]
-    if same:
-        ends = [(np.concatenate([i, j]), np.concatenate([j, i]), pid, np.concatenate([c, c]))]
-    keep = np.zeros(len(i), bool)
-    for own, other, names, score in ends:
-        place_of = np.empty(len(names), np.int64)
-        place_of[np.argsort(names, kind="stable")] = np.arange(len(names))
-        order = np.lexsort((place_of[other], -score, own))
-        begins = np.flatnonzero(np.diff(own[order], prepend=-1))
-        place = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
-        keep[order[place < k] % len(i)] = True
-    return keep
+class Held:
+    """The vectors of a block with their projections."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+        self.ids, self.vectors, self.directions = ids[order], vectors[order], directions
+        projected = (self.vectors @ directions).astype(np.float32)
+        self.right = np.concatenate([projected, np.ones((len(ids), 1), np.float32), np.sum(projected * projected, 1)[:, None]], axis=1).T.copy()
+
+    def search(self, ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row of the block, cosine) of up to k nearest of each vector of q down to its least cosine; a
+        vector is no neighbour of its own id."""
+        n = len(self.ids)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(64, (1 << 21) // max(1, n))
+        for s in range(0, len(q) if n else 0, step):
+            v, bound = q[s : s + step], least[s : s + step].copy()
+            projected = (v @ self.directions).astype(np.float32)
+            left = np.concatenate([-2 * projected, np.sum(projected * projected, 1)[:, None], np.ones((len(v), 1), np.float32)], axis=1)
+            away = left @ self.right
+            reach = lambda: ((2 - 2 * bound) * CHI_SQUARE * 1.0001 + 1e-6).astype(np.float32)[:, None]  # noqa: B023, E731
+            open_ = away <= reach()
+            own = np.searchsorted(self.ids, ids[s : s + step])
+            own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == ids[s : s + step]), own, -1)
+            several = np.flatnonzero(own >= 0)
+            open_[several, own[several]] = False
+            crowded = np.flatnonzero(open_.sum(axis=1) > FIRST * k)
+            if len(crowded) and n > FIRST * k:
+                # first increment: the nearest by projection; their k-th cosine is the bound of the stopping test
+                near = np.argpartition(np.where(open_[crowded], away[crowded], np.inf), FIRST * k - 1, axis=1)[:, : FIRST * k]
+                c = np.einsum("ij,ikj->ik", v[crowded], self.vectors[near])
+                kth = np.partition(c, FIRST * k - k, axis=1)[:, FIRST * k - k]
+                bound[crowded] = np.maximum(bound[crowded], kth - 1e-9)
+                open_ &= away <= reach()
+            i, j = np.nonzero(open_)
+            c = np.einsum("ij,ij->i", v[i], self.vectors[j]) if 16 * len(i) < open_.size else (v @ self.vectors.T)[i, j]
+            ok = c >= bound[i]
+            i, j, c = i[ok], j[ok], c[ok]
+            order = np.lexsort((j, -np.round(c, 12), i))
+            i, j, c = i[order], j[order], c[order]
+            begins = np.flatnonzero(np.diff(i, prepend=-1))
+            best = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i)))) < k
+            found.append((i[best] + s, j[best], c[best]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _class_keys() -> list[Column]:
     return [F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")]
 
 
+def _sendable(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SEND_IDS else df
+
+
 def _prepared(points: DataFrame, dim: int, name: str, block: int):
     """Members of the classes of equal vectors that have several (rep, id), the vectors to search (id, vector), one
-    of each class, and the broadcast tree."""
+    row of each class, and the broadcast tree."""
     spark = points.sparkSession
     mine = points.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
-    rows = points.count()
-    # classes of equal vectors: those with several members are few unless copies abound
+    # classes of equal vectors with more than one row: repeated rows or several ids
     keyed = mine.select("id", *_class_keys())
-    several = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    members = staged(keyed.join(several, ["h1", "h2"]).select("rep", "id").distinct(), f"{name}-members")
-    others = members.where("id <> rep").select("id")
-    reps = mine.join(F.broadcast(others) if others.count() <= SEND_IDS else others, "id", "left_anti")
+    several = staged(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1"), f"{name}-classes")
+    many = several.count()
+    shared = several.where("rep <> last").select("h1", "h2", "rep")
+    members = staged(keyed.join(_sendable(shared, many), ["h1", "h2"]).select("rep", "id").distinct(), f"{name}-members")
+    hashed = mine.select("id", "vector", *_class_keys())
+    single = hashed.join(_sendable(several.select("h1", "h2"), many), ["h1", "h2"], "left_anti").select("id", "vector")
+    merged = hashed.join(_sendable(several.select("h1", "h2"), many), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
+    reps = single.unionByName(staged(merged.select("id", "vector"), f"{name}-merged"))
+    rows = reps.count()
     every = max(1, rows // SAMPLE)
-    sampled = reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(2 * SAMPLE).select("vector").toArrow()
+    sampled = reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vector").toArrow()
     sample = unit(_matrix(sampled["vector"], dim)) if sampled.num_rows else np.zeros((0, dim))
-    return members, reps, spark.sparkContext.broadcast(fit(sample, dim, rows, block))
-
-
-def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, name: str = "neighbours", block: int = BLOCK) -> DataFrame:
-    """id, near_id, cosine, rank: for each usable vector of points (id, vector) its up to k most similar others
-    with at least that cosine; ties go to the smaller id.
-
-    Null, all-zero, NaN-holding vectors and those of another length take no part, nor do rows without an id. A row
-    written twice counts once. An empty table gives no row."""
-    members, reps, sent = _prepared(points, dim, name, block)
-    radius = math.sqrt(2 - 2 * cosine)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(_routed(tree, batch, dim, radius), ["block", "asks", "id", "vector"])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        directions = sent.value.directions
-        ids, asks = np.array(rows["id"].to_pylist(), dtype=object), rows["asks"].to_numpy()
-        vectors = unit(_matrix(rows["vector"], dim))
-        a, b, c = [], [], []
-        here, there = _once(ids, np.flatnonzero(~asks)), _once(ids, np.flatnonzero(asks))
-        for q, p, same in ((here, here, True), (there, here, False)):
-            i, j, x = close_pairs(vectors[q], vectors[p], directions, cosine, k, same)
-            if len(i):
-                keep = _best(i, j, x, ids[q], ids[p], k, same)
-                a.extend(ids[q][i[keep]])
-                b.extend(ids[p][j[keep]])
-                c.extend(x[keep])
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "c": pa.array(c, pa.float64())})
-
-    routed = reps.mapInArrow(route, "block int, asks boolean, id string, vector array<float>")
-    pairs = routed.groupBy("block").applyInArrow(meet, "a string, b string, c double").where("a <> b")
-    both = pairs.union(pairs.select("b", "a", "c")).select(F.col("a").alias("rep"), F.col("b").alias("other"), F.round("c", 12).alias("c")).distinct()
-    return _lists(both, members, k)
+    return members, reps, spark.sparkContext.broadcast(deepened(fit(sample, dim, rows, block), reps, dim, rows, block))
 
 
 def _own_block(tree: Tree, ids: pa.Array, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaf and block within it of projected points."""
-    own = _leaf(projected, tree.axis, tree.at)
+    own = _leaf(tree, projected)
     hashes = np.array([zlib.crc32(x.encode()) for x in ids.to_pylist()], dtype=np.int64)
     return own, hashes % tree.blocks[own]
 
@@ -239,11 +305,11 @@ def _routed(tree: Tree, batch: pa.RecordBatch, dim: int, radius: float | np.ndar
     projected = unit(_matrix(batch.column(1), dim)) @ tree.directions
     own, part = _own_block(tree, batch.column(0), projected)
     row, leaf = search_order(tree, projected, radius, covered)
-    # a search of a leaf goes to each of its blocks; in the own leaf, to the blocks behind the own one
+    # a search of a leaf goes to each of its blocks; in the own leaf, to all but the own one
     counts = tree.blocks[leaf]
     row, leaf = np.repeat(row, counts), np.repeat(leaf, counts)
     sub = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    go = (leaf != own[row]) | (sub > part[row])
+    go = (leaf != own[row]) | (sub != part[row])
     row, to = row[go], (tree.first[leaf] + sub)[go]
     target = np.concatenate([tree.first[own] + part, to]).astype(np.int32)
     asks = np.concatenate([np.zeros(len(own), bool), np.ones(len(row), bool)])
@@ -251,75 +317,105 @@ def _routed(tree: Tree, batch: pa.RecordBatch, dim: int, radius: float | np.ndar
     return [pa.array(target), pa.array(asks), *(c.take(index) for c in batch.columns)]
 
 
+def _by_block(rows: DataFrame, dim: int, sent, answer, schema: str) -> DataFrame:
+    """answer(held, ids, vectors, least, asks) over rows (block, asks, id, vector, least), a table for every stretch:
+    first the block's own vectors among themselves, then those that search it, as they stream past. A task holds one
+    block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []
+        at, held = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held is None and own:
+                whole = pa.Table.from_batches(own)
+                ids, vectors = np.array(whole["id"].to_pylist(), dtype=object), unit(_matrix(whole["vector"], dim))
+                held = Held(ids, vectors, sent.value.directions)
+                yield answer(held, ids, vectors, whole["least"].to_numpy(), whole)
+
+        for batch in batches:
+            block, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(block, prepend=block[:1] - 1) != 0) | (np.diff(asks.astype(np.int8), prepend=0) != 0))
+            for s, e in zip(edges, [*edges[1:], len(block)]) if len(block) else ():
+                if block[s] != at:
+                    yield from close()
+                    own, at, held = [], block[s], None
+                part = batch.slice(s, e - s)
+                if not asks[s]:
+                    own.append(part)
+                    continue
+                yield from close()
+                if held is not None:  # nobody lies in an empty block
+                    table = pa.Table.from_batches([part])
+                    ids = np.array(table["id"].to_pylist(), dtype=object)
+                    yield answer(held, ids, unit(_matrix(table["vector"], dim)), table["least"].to_numpy(), table)
+        yield from close()
+
+    return rows.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, schema)
+
+
+def _links(routed: DataFrame, dim: int, sent, k: int) -> DataFrame:
+    """rep, other, c of routed vectors and the nearest in the blocks they search, for either end."""
+
+    def answer(held: Held, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, _: pa.Table) -> pa.RecordBatch:
+        i, j, c = held.search(ids, vectors, least, k)
+        a, b, c = pa.array(ids[i], pa.string()), pa.array(held.ids[j], pa.string()), pa.array(np.round(c, 12), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([a, b], [b, a], [c, c])], ["rep", "other", "c"])
+
+    found = _by_block(routed, dim, sent, answer, "rep string, other string, c double")
+    return found.where("rep <> other").groupBy("rep", "other").agg(F.max("c").alias("c"))
+
+
+def neighbours(points: DataFrame, dim: int, k: int = 5, cosine: float = 0.92, name: str = "neighbours", block: int = BLOCK) -> DataFrame:
+    """id, near_id, cosine, rank: for each usable vector of points (id, vector) its up to k most similar others
+    with at least that cosine; ties go to the smaller id.
+
+    Null, all-zero, NaN-holding vectors and those of another length take no part, nor do rows without an id. A row
+    written twice counts once; an id with several vectors is compared by each. An empty table gives no row."""
+    members, reps, sent = _prepared(points, dim, name, block)
+    radius = math.sqrt(2 - 2 * cosine)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = _routed(sent.value, batch, dim, radius)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), cosine))], ["block", "asks", "id", "vector", "least"])
+
+    routed = reps.mapInArrow(route, "block int, asks boolean, id string, vector array<float>, least double")
+    return _lists(_links(routed, dim, sent, k), members, k)
+
+
 def nearest(points: DataFrame, dim: int, k: int = 5, name: str = "nearest", block: int = BLOCK) -> DataFrame:
     """id, near_id, cosine, rank: for each usable vector of points (id, vector) its k most similar others, however far
     they are (fewer only where there are no more); ties go to the smaller id. What counts as usable is as in
     neighbours."""
     members, reps, sent = _prepared(points, dim, name, block)
-    step = lambda n: max(64, (1 << 22) // max(1, n))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
         for batch in batches:
-            if batch.num_rows:
+            if n := batch.num_rows:
                 own, part = _own_block(tree, batch.column(0), unit(_matrix(batch.column(1), dim)) @ tree.directions)
-                yield pa.RecordBatch.from_arrays([pa.array((tree.first[own] + part).astype(np.int32)), *batch.columns], ["block", "id", "vector"])
-
-    def bound(rows: pa.Table) -> pa.Table:
-        ids = np.array(rows["id"].to_pylist(), dtype=object)
-        here = _once(ids, np.arange(len(ids)))
-        v = unit(_matrix(rows["vector"], dim))[here]
-        least = np.full(len(v), -1.0)
-        if len(v) > k:
-            for s in range(0, len(v), step(len(v))):
-                scores = v[s : s + step(len(v))] @ v.T
-                scores[np.arange(len(scores)), np.arange(s, s + len(scores))] = -2
-                least[s : s + len(scores)] = np.partition(scores, len(v) - k, axis=1)[:, len(v) - k]
-        kept = rows.take(pa.array(here))
-        return pa.table({"id": kept["id"], "vector": kept["vector"], "least": pa.array(np.clip(least, -1, 1))})
+                block = pa.array((tree.first[own] + part).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([block, pa.array(np.zeros(n, bool)), *batch.columns, pa.array(np.full(n, -1.0))], ["block", "asks", "id", "vector", "least"])
+
+    def bound(held: Held, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        i, _, c = held.search(ids, vectors, least, k)
+        full = np.bincount(i, minlength=len(ids)) >= k
+        worst = np.full(len(ids), 1.0)
+        np.minimum.at(worst, i, c)
+        return pa.RecordBatch.from_arrays([*(rows[x].combine_chunks() for x in ("id", "vector")), pa.array(np.where(full, np.clip(worst - 1e-9, -1, 1), -1.0))], ["id", "vector", "least"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                radius = np.sqrt(np.maximum(1e-12, 2 - 2 * batch.column(2).to_numpy()))[:, None]
+                radius = np.sqrt(np.maximum(1e-12, 2 - 2 * batch.column(2).to_numpy()))
                 yield pa.RecordBatch.from_arrays(_routed(sent.value, batch, dim, radius, LIST_COVERED), ["block", "asks", "id", "vector", "least"])
 
-    def meet(rows: pa.Table) -> pa.Table:
-        ids, asks, least = np.array(rows["id"].to_pylist(), dtype=object), rows["asks"].to_numpy(), rows["least"].to_numpy() - 1e-9
-        vectors = unit(_matrix(rows["vector"], dim))
-        a, b, c = [], [], []
-        here, there = _once(ids, np.flatnonzero(~asks)), _once(ids, np.flatnonzero(asks))
-        for q, same in ((here, True), (there, False)):
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            for s in range(0, len(q), step(len(here))):
-                part = q[s : s + step(len(here))]
-                scores = vectors[part] @ vectors[here].T
-                near = scores >= np.minimum(least[part][:, None], least[here])
-                if same:
-                    near &= np.arange(len(here)) > np.arange(s, s + len(part))[:, None]
-                i, j = np.nonzero(near)
-                found.append((i + s, j, scores[i, j]))
-            i, j, x = (np.concatenate(f) for f in zip(*found))
-            if len(i):
-                keep = _best(i, j, x, ids[q], ids[here], k, same)
-                a.extend(ids[q][i[keep]])
-                b.extend(ids[here][j[keep]])
-                c.extend(x[keep])
-        return pa.table({"rep": pa.array(a + b, pa.string()), "other": pa.array(b + a, pa.string()), "c": pa.array(np.round(c + c, 12), pa.float64())})
-
-    placed = reps.mapInArrow(place, "block int, id string, vector array<float>")
-    bounded = placed.groupBy("block").applyInArrow(bound, "id string, vector array<float>, least double")
-    routed = bounded.mapInArrow(route, "block int, asks boolean, id string, vector array<float>, least double")
-    links = routed.groupBy("block").applyInArrow(meet, "rep string, other string, c double").where("rep <> other").distinct()
-    return _lists(links, members, k)
-
-
-def _once(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions of the first row of each id."""
-    seen: dict = {}
-    for i in at:
-        seen.setdefault(ids[i], i)
-    return np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+    whole = "block int, asks boolean, id string, vector array<float>, least double"
+    bounded = _by_block(reps.mapInArrow(place, whole), dim, sent, bound, "id string, vector array<float>, least double")
+    return _lists(_links(bounded.mapInArrow(route, whole), dim, sent, k), members, k)
 
 
 def _lists(links: DataFrame, members: DataFrame, k: int) -> DataFrame:
