@@ -177,6 +177,34 @@ def test_hand_checked_texts_are_told_apart():
     assert all((s > 0.5) == bad for s, (_, bad) in zip(share, quality.PAGES))
 
 
+def test_trees_beat_the_line_rule_on_spliced_pages():
+    """Pages spliced from lines that the patterns of single lines don't know: their share is known by construction."""
+    rng = random.Random(5)
+    names = [w.capitalize() for w in "barn mill tower quay forge chapel orchard harbour meadow cellar bakery granary".split()]
+    says = ["The council of {} met on day {} and agreed to repair the {}.", "It was late, and {} of the {} men had left for the {}.", "He asked for the {} keys of room {}, but the {} was shut.", "Work on the {} began in {}, when the {} was sold."]
+
+    def prose():
+        return "\n".join(rng.choice(says).format(rng.choice(names).lower(), rng.randint(2, 900), rng.choice(names).lower()) for _ in range(rng.randint(6, 14)))
+
+    def other():
+        kind = rng.randrange(3)
+        if kind == 0:
+            return "\n".join(f"{rng.choice(names)}: {rng.randint(2, 900)}" for _ in range(rng.randint(12, 30)))
+        if kind == 1:
+            return "\n".join(f"- {rng.choice(names).lower()} and {rng.choice(names).lower()}" if k % 4 else f"{rng.choice(names)} {rng.choice(names)} store" for k in range(rng.randint(12, 30)))
+        return "\n".join(f"{rng.choice(names)}   {rng.randint(1, 99)}   {rng.randint(1, 99)}   {rng.randint(1, 99)}" for _ in range(rng.randint(8, 20)))
+
+    def pages(n):
+        return [t for _ in range(n) for t in (prose(), other())]
+
+    x, y = quality.training_set(pages(300), COMMON)
+    model = boosting.fit(x[:, : quality.SEEN], y)
+    held, truth = quality.training_set(pages(150), COMMON)
+    trees = (quality.probability(model, held) > 0.5) == (truth > 0.5)
+    rule = (held[:, -1] > 0.5) == (truth > 0.5)
+    assert trees.mean() >= max(0.97, rule.mean())
+
+
 def test_quality_rows(spark):
     prose = "The council met in the old hall and agreed that the bridge was to be repaired before the winter came."
     listing = "\n".join(f"Apples {i}: {i * 37}" for i in range(30))

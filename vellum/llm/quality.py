@@ -1,9 +1,11 @@
 """Statistics of a page's text that set running prose apart from lists, tables and junk.
 
 Lines are looked at one by one and in runs. A line of a list or table, and an unreadable, machine-made or repeated
-one, counts with its characters towards the structural part of the page. Gradient-boosted trees over all
-statistics, fitted on a bounded sample of pages with weak labels (pages whose lines are clearly structural or
-clearly sentences) and calibrated on hand-checked texts, give the probability that the page is no prose.
+one, counts with its characters towards the structural part of the page. Gradient-boosted trees over all other
+statistics give the probability that the page is no prose. They are fitted on a bounded sample: pages on which weak
+labellers agree (hardly any or nearly all lines structural, and sentences and small words or none), and pages spliced
+from the lines of two such, of which the true share is known by construction and not from their own lines. The
+probabilities are calibrated on hand-checked texts.
 
 Pages are scored where they are read; only their numbers are shuffled, to count a page written twice once.
 """
@@ -25,14 +27,18 @@ from vellum.llm.holdout import PAGES
 MIN_CHARS = 50
 #: Rows of the sample that the trees are fitted on, about.
 SAMPLE = 6000
-#: Pages whose structural share is nearer to one half than this have no weak label.
-MARGIN = 0.04
+#: Weak labels: at most and at least so much of a page's lines is structural.
+SURELY_PROSE, SURELY_NOT = 0.02, 0.9
+#: Shares of structural characters that pages are spliced for.
+SPLICED = (0.15, 0.3, 0.4, 0.45, 0.47, 0.53, 0.55, 0.6, 0.7, 0.85)
 
 STATS = (
     "chars", "words", "mean_word", "lines", "mean_line", "symbol_share", "digit_share", "upper_share", "punctuated_lines", "sentence_marks",
     "common_share", "distinct_words", "comma_rate", "vowel_share", "odd_share", "longest_token", "repeated_share", "list_share", "table_share",
-    "junk_share", "loose_share", "structural_share",
+    "junk_share", "loose_share", "small_word_lines", "ended_lines", "long_lines", "structural_share",
 )
+#: What the trees see: all but the sum that weak labels are taken from.
+SEEN = len(STATS) - 1
 
 _bullet = re.compile(r"(?:[-*•–·▪◦+>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\d{1,2}(?:\.\d{1,2})+)\s+\S")
 _leader = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
@@ -128,8 +134,8 @@ def _hangs_on(lines: list[str], common: frozenset[str]) -> bool:
     """Whether a run of plain lines beside structural ones goes with them: no sentence ends in it, and it has
     hardly any of the small words of a language."""
     text = " ".join(lines)
-    words = [w.lower() for w in _word.findall(text)]
-    return not _kana.search(text) and not _stop.search(text) and sum(w in common for w in words) <= 0.05 * len(words)
+    words = _word.findall(text.lower())
+    return not _kana.search(text) and not _stop.search(text) and sum(map(common.__contains__, words)) <= 0.05 * len(words)
 
 
 def _loose(lines: list[str], common: frozenset[str]) -> bool:
@@ -138,10 +144,10 @@ def _loose(lines: list[str], common: frozenset[str]) -> bool:
     text = " ".join(lines)
     if _kana.search(text):
         return False
-    words = [w.lower() for w in _word.findall(text)]
+    words = _word.findall(text.lower())
     if not words:
         return True
-    ends, small = len(_stop.findall(text)), sum(w in common for w in words)
+    ends, small = len(_stop.findall(text)), sum(map(common.__contains__, words))
     if ends and len(words) / ends < 60:
         return False
     commas = text.count(",")
@@ -158,17 +164,21 @@ def _page(lines: list[str], counts: np.ndarray, common: frozenset[str]) -> tuple
     if not total:
         return (0.0,) * len(STATS)
     lines = [x.strip() for x in lines]
-    kinds, sizes, words, smalls, token_count, longest = [], counts[:, 9].tolist(), [], 0, 0, 0
+    kinds, sizes, words, smalls, longest = [], counts[:, 9].tolist(), [], 0, 0
+    common_chars = ended_chars = long_chars = 0
+    known = common.__contains__
     for line, (_, digits, _, vowels, odd, symbols, han, kana, own, n) in zip(lines, counts.tolist()):
         if not line:
             kinds.append("")
             continue
         tokens = line.split()
-        lower = [w for t in tokens if (w := t.strip(_edges).lower())]
-        small = sum(w in common for w in lower)
+        lower = [w for t in line.lower().split() if (w := t.strip(_edges))]
+        small = sum(map(known, lower))
         words += lower
         smalls += small
-        token_count += len(tokens)
+        common_chars += n if small >= 0.15 * len(tokens) else 0
+        ended_chars += n if line[-1] in _closing else 0
+        long_chars += n if len(tokens) > 6 else 0
         longest = max(longest, max(map(len, tokens)))
         kinds.append(_kind(line, tokens, small, n, digits, vowels, odd, symbols, han, kana, own))
     for s, e in _runs(kinds, lines):
@@ -188,10 +198,11 @@ def _page(lines: list[str], counts: np.ndarray, common: frozenset[str]) -> tuple
     again = sum(len("".join(s.split())) * n for s, n in said.items() if n >= 4)
     filled = [x for x in lines if x]
     n = max(1, len(words))
+    structural = min(1.0, (total - by[""] + again) / total)
     return (
         float(total), float(len(words)), letters / n, float(len(filled)), total / len(filled), whole[5] / total, whole[1] / total, whole[2] / letters,
         sum(x[-1] in _closing for x in filled) / len(filled), len(said) / n, smalls / n, len(set(words)) / n, plain.count(",") / n, whole[3] / letters, whole[4] / total,
-        float(longest), again / total, by["list"] / total, by["table"] / total, by["junk"] / total, by["loose"] / total, min(1.0, (total - by[""] + again) / total),
+        float(longest), again / total, by["list"] / total, by["table"] / total, by["junk"] / total, by["loose"] / total, common_chars / total, ended_chars / total, long_chars / total, structural,
     )
 
 
@@ -214,21 +225,80 @@ def page_stats(text: str | None, common: frozenset[str]) -> np.ndarray:
 
 def common_set(words: DataFrame) -> frozenset[str]:
     """The frequent words of all languages; the table is fixed and small."""
-    return frozenset(r["word"].lower() for r in words.where("word IS NOT NULL").select("word").distinct().limit(10_000).collect())
+    return frozenset(r["word"].lower() for r in words.where("word IS NOT NULL").select("word").distinct().collect())
+
+
+def weak_labels(x: np.ndarray) -> np.ndarray:
+    """1 for pages that are surely no prose, 0 for those that surely are, -1 where the weak labellers disagree: the
+    line patterns on one side, sentence ends and small words on the other."""
+    at = {name: x[:, k] for k, name in enumerate(STATS)}
+    speaks = (at["sentence_marks"] > 0.02) & (at["common_share"] > 0.05)
+    mute = (at["sentence_marks"] < 0.05) | (at["common_share"] < 0.05) | (at["repeated_share"] > 0.5)
+    out = np.full(len(x), -1)
+    out[(at["structural_share"] <= SURELY_PROSE) & speaks] = 0
+    out[(at["structural_share"] >= SURELY_NOT) & mute] = 1
+    out[at["chars"] < MIN_CHARS] = -1
+    return out
+
+
+def _first_lines(lines: list[str], chars: float) -> tuple[list[str], int]:
+    """The first lines with about so many characters that aren't blank, and their number of characters."""
+    out, size = [], 0
+    for line in lines:
+        n = len("".join(line.split()))
+        if out and size + n / 2 > chars:
+            break
+        out.append(line)
+        size += n
+    return out, size
+
+
+def spliced(prose: list[str], other: list[str]) -> Iterator[tuple[str, float]]:
+    """(text, whether more than half of it is no prose) of pages made of the lines of a prose page and of another
+    one, in shares of SPLICED, the other part before, behind or inside the prose."""
+    for k, (a, b) in enumerate(zip(prose, other)):
+        la, lb = a.split("\n"), b.split("\n")
+        na, nb = len("".join(a.split())), len("".join(b.split()))
+        share = SPLICED[k % len(SPLICED)]
+        whole = min(na / (1 - share), nb / share)
+        (ta, sa), (tb, sb) = _first_lines(la, whole * (1 - share)), _first_lines(lb, whole * share)
+        true = sb / max(1, sa + sb)
+        if abs(true - 0.5) > 0.01 and sa + sb >= MIN_CHARS:
+            at = (0, len(ta), len(ta) // 2)[k % 3]
+            yield "\n".join([*ta[:at], *tb, *ta[at:]]), float(true > 0.5)
+
+
+def training_set(texts: list[str], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """STATS and labels of the surely labelled pages among texts and of pages spliced from them."""
+    x = batch_stats(texts, common)
+    labels = weak_labels(x)
+    prose, other = ([texts[i] for i in np.flatnonzero(labels == k)] for k in (0, 1))
+    mixed: list[tuple[str, float]] = []
+    if prose and other:
+        n = max(len(prose), len(other))
+        for shift in (0, 1):  # every page of either kind meets others
+            mixed += spliced([prose[(i + shift) % len(prose)] for i in range(n)], [other[(i * (1 + shift) + shift) % len(other)] for i in range(n)])
+    made = batch_stats([t for t, _ in mixed], common)
+    sure = labels >= 0
+    return np.concatenate([x[sure], made]), np.concatenate([labels[sure].astype(float), np.array([y for _, y in mixed])])
 
 
 def fit(pages: DataFrame, common: frozenset[str], sample: int = SAMPLE) -> boosting.Booster:
     """Trees from about so many pages, drawn by a hash of their key, and calibrated on the hand-checked texts."""
     every = max(1, pages.count() // sample)
     drawn = pages.where((F.pmod(F.xxhash64("doc_id", "page_number"), F.lit(every)) == 0) & F.col("text").isNotNull()).select("text").limit(2 * sample)
-    x = batch_stats(drawn.toArrow()["text"].to_pylist(), common)
-    x = x[x[:, 0] >= MIN_CHARS]
+    x, y = training_set(drawn.toArrow()["text"].to_pylist(), common)
     checked = batch_stats([t for t, _ in PAGES], common)
     truth = np.array([float(y) for _, y in PAGES])
-    x = x[np.abs(x[:, -1] - 0.5) > MARGIN]
-    if len(x) < 200:  # too few pages for trees: the checked texts stand in
-        x = np.concatenate([x, checked])
-    return boosting.calibrated(boosting.fit(x, (x[:, -1] > 0.5).astype(float)), checked, truth)
+    if len(x) < 200 or len(set(y)) < 2:  # too few pages for trees: the checked texts and their splices stand in
+        more, labels = training_set([t for t, _ in PAGES], common)
+        x, y = np.concatenate([x, checked, more]), np.concatenate([y, truth, labels])
+    return boosting.calibrated(boosting.fit(x[:, :SEEN], y), checked[:, :SEEN], truth)
+
+
+def probability(model: boosting.Booster, x: np.ndarray) -> np.ndarray:
+    """The probability that pages with these STATS are no prose; 0 for blank ones."""
+    return np.where(x[:, 0] > 0, model.probability(x[:, :SEEN]), 0.0)
 
 
 def scored(pages: DataFrame, words: DataFrame, model: boosting.Booster | None = None, common: frozenset[str] | None = None) -> DataFrame:
@@ -242,7 +312,7 @@ def scored(pages: DataFrame, words: DataFrame, model: boosting.Booster | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch_stats(batch.column(3).to_pylist(), common)
-            p = np.where(x[:, 0] > 0, model.probability(x), 0.0)
+            p = probability(model, x)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(np.ascontiguousarray(c)) for c in x.T), pa.array(p)], names)
 
     rows = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.unix_micros(F.col("extracted_at").cast("timestamp")).alias("at"), "text")
