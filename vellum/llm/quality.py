@@ -230,9 +230,11 @@ def common_set(words: DataFrame) -> frozenset[str]:
 
 def weak_labels(x: np.ndarray) -> np.ndarray:
     """1 for pages that are surely no prose, 0 for those that surely are, -1 where the weak labellers disagree: the
-    line patterns on one side, sentence ends and small words on the other."""
+    line patterns on one side, sentences and small words on the other."""
     at = {name: x[:, k] for k, name in enumerate(STATS)}
-    speaks = (at["sentence_marks"] > 0.02) & (at["common_share"] > 0.05)
+    # languages without listed words speak in long lines with few commas
+    foreign = (at["common_share"] == 0) & (at["comma_rate"] < 0.2) & ((at["long_lines"] > 0.5) | (at["mean_word"] > 9))
+    speaks = (at["sentence_marks"] > 0.02) & ((at["common_share"] > 0.05) | foreign)
     mute = (at["sentence_marks"] < 0.05) | (at["common_share"] < 0.05) | (at["repeated_share"] > 0.5)
     out = np.full(len(x), -1)
     out[(at["structural_share"] <= SURELY_PROSE) & speaks] = 0
