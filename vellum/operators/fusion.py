@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import DEFAULTS, Settings
@@ -47,10 +47,9 @@ def page_match(chunks: DataFrame, pages: DataFrame, by: str = "rank") -> DataFra
     highest page score. Adds page_rank and page_score, null where no page matches."""
     p = pages.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), "page_number", "page_rank", "page_score")
     joined = chunks.join(F.broadcast(p), (F.col("doc_id") == F.col("_doc")) & in_range(F.col("page_number"), F.col("page_start"), F.col("page_end")), "left")
-    keys = [c for c in chunks.columns if c != "metadata"]
     score = F.min_by("page_score", "page_rank") if by == "rank" else F.max("page_score")
-    extra = [F.first("metadata").alias("metadata")] if "metadata" in chunks.columns else []
-    return joined.groupBy(*keys).agg(F.min("page_rank").alias("page_rank"), score.alias("page_score"), *extra)
+    rest = [F.first(c).alias(c) for c in chunks.columns if c != "text_rank"]  # a rank is one hit
+    return joined.groupBy("text_rank").agg(*rest, F.min("page_rank").alias("page_rank"), score.alias("page_score"))
 
 
 def orphan_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -66,11 +65,23 @@ def agreement(hits: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame
     return hits.join(F.broadcast(both), "doc_id", "left").withColumn("agrees", F.coalesce("_both", F.lit(False))).drop("_both")
 
 
+#: What a hit carries beside positions and scores; null where a side has none.
+PAYLOAD = {"text": "string", "source": "string", "filename": "string", "metadata": "map<string,string>", "page_image_key": "string"}
+
+
+def payload_of(df: DataFrame, *absent: str) -> list[Column]:
+    """The payload columns of hits; null for those that are absent or not there."""
+    return [(F.col(c).cast(t) if c in df.columns and c not in absent else F.lit(None).cast(t)).alias(c) for c, t in PAYLOAD.items()]
+
+
 def _fused(chunks: DataFrame, pages: DataFrame, config: FusionConfig, by: str, matched_score, orphan_score) -> DataFrame:
-    matched = page_match(chunks, pages, by).select(
-        "doc_id", "chunk_index", "page_start", "page_end", "text_score", "page_score", matched_score.alias("score"), F.lit(False).alias("orphan"), F.col("text_rank").alias("position")
+    met = page_match(chunks, pages, by)
+    matched = met.select(
+        *payload_of(met, "page_image_key"), "doc_id", "chunk_index", "page_start", "page_end", "text_score", "page_score", matched_score.alias("score"), F.lit(False).alias("orphan"), F.col("text_rank").alias("position")
     )
-    orphans = orphan_pages(chunks, pages).select(
+    alone = orphan_pages(chunks, pages)
+    orphans = alone.select(
+        *payload_of(alone, "text"),
         "doc_id",
         F.lit(-1).alias("chunk_index"),
         F.col("page_number").alias("page_start"),

@@ -15,10 +15,11 @@ def special_tokens(model: Column) -> Column:
 
 
 def _grid(tokens: Column, grid: Column, specials: Column) -> Column:
-    """The grid side in use: a page with fewer patches than asked for has the largest square that fits."""
+    """The grid side in use: a page with fewer tokens than the grid has cells has the largest square that fits
+    beside the special tokens."""
     patches = F.size(tokens) - specials
     fitting = F.floor(F.sqrt(F.greatest(patches, F.lit(0)).cast("double"))).cast("int")
-    return F.when(F.size(tokens) < grid * grid + specials, fitting).otherwise(grid)
+    return F.when(F.size(tokens) < grid * grid, fitting).otherwise(grid)
 
 
 def _mean(vectors: Column) -> Column:

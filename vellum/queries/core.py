@@ -45,6 +45,10 @@ def virtual_chunks(spark: SparkSession, folder: str) -> DataFrame:
         (F.floor(index / 2) + 1).cast("int").alias("page_start"),
         (F.floor((index + 1) / 2) + 1).cast("int").alias("page_end"),
         F.col("label"),
+        F.concat(F.lit("passage "), v).alias("text"),
+        F.lit("vectors").alias("source"),
+        F.format_string("doc-%d.pdf", F.floor(v / 5)).alias("filename"),
+        F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"),
         F.col("embedding").alias("vector"),
     )
 
@@ -58,6 +62,9 @@ def virtual_pages(spark: SparkSession, folder: str) -> DataFrame:
         "id",
         F.floor(F.col("id") / 3).cast("string").alias("doc_id"),
         (F.col("id") % 3 + 1).cast("int").alias("page_number"),
+        (F.col("id") % 3).cast("int").alias("text_quality"),
+        F.format_string("doc-%d.pdf", F.floor(F.col("id") / 3)).alias("filename"),
+        F.format_string("vectors/%d/%06d.png", F.floor(F.col("id") / 3), F.col("id") % 3 + 1).alias("page_image_key"),
         "original",
         pooling.pool_rows(F.col("original"), 2, 1).alias("pooled_rows"),
         pooling.pool_cols(F.col("original"), 2, 1).alias("pooled_cols"),
@@ -278,16 +285,22 @@ def weighted_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(hits.select("doc_id", "chunk_index", "page_start", "page_end", "text_score", "page_score", "score"))
 
 
+def _shown(hits: DataFrame) -> DataFrame:
+    """Hits with the entries of their metadata as columns."""
+    entries = {"label": F.col("metadata")["label"], "page_quality": F.col("metadata")["text_quality"]}
+    return _rounded(hits.withColumns(entries).drop("metadata"))
+
+
 def search_text_only(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(search.text_only(virtual_chunks(spark, folder), _vector_of(spark, folder, TEXT_QUERY_ID)))
+    return _shown(search.text_only(virtual_chunks(spark, folder), _vector_of(spark, folder, TEXT_QUERY_ID)))
 
 
 def search_colpali_only(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(search.pages_only(virtual_pages(spark, folder), _page_query(spark, folder)))
+    return _shown(search.pages_only(virtual_pages(spark, folder), _page_query(spark, folder)))
 
 
 def search_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(
+    return _shown(
         search.fused(virtual_chunks(spark, folder), virtual_pages(spark, folder), _vector_of(spark, folder, TEXT_QUERY_ID), _page_query(spark, folder))
     )
 
@@ -380,7 +393,7 @@ def ingest_search(spark: SparkSession, folder: str) -> DataFrame:
     )
     embedder = HashEmbedder(64)
     query = [float(x) for x in embedder.embed(["the harbour and its lighthouse"])[0]]
-    return _rounded(search.text_only(ingest.chunk_rows(f, embedder), query, 10))
+    return _shown(search.text_only(ingest.chunk_rows(f, embedder), query, 10))
 
 
 QUERIES: dict[str, Query] = {

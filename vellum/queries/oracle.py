@@ -164,9 +164,10 @@ _VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
 _KB = f"""
 e AS (SELECT vec_id, label, {_VEC} AS v FROM embeddings),
 c AS (SELECT vec_id AS id, (vec_id // 5)::VARCHAR AS doc_id, (vec_id % 5)::INT AS chunk_index, ((vec_id % 5) // 2 + 1)::INT AS page_start,
-             ((vec_id % 5 + 1) // 2 + 1)::INT AS page_end, label, v FROM e),
+             ((vec_id % 5 + 1) // 2 + 1)::INT AS page_end, label, v, 'passage ' || vec_id AS text, 'vectors' AS source, 'doc-' || (vec_id // 5) || '.pdf' AS filename FROM e),
 tok AS (SELECT vec_id // 5 AS id, list(v ORDER BY vec_id) AS o FROM e GROUP BY 1),
-p AS (SELECT id, (id // 3)::VARCHAR AS doc_id, (id % 3 + 1)::INT AS page_number, o,
+p AS (SELECT id, (id // 3)::VARCHAR AS doc_id, (id % 3 + 1)::INT AS page_number, (id % 3)::INT AS text_quality, 'doc-' || (id // 3) || '.pdf' AS filename,
+             'vectors/' || (id // 3) || '/00000' || (id % 3 + 1) || '.png' AS page_image_key, o,
              [list_transform(list_zip(o[1], o[2]), lambda z: (z[1] + z[2]) / 2), list_transform(list_zip(o[3], o[4]), lambda z: (z[1] + z[2]) / 2), o[5]] AS pr,
              [list_transform(list_zip(o[1], o[3]), lambda z: (z[1] + z[2]) / 2), list_transform(list_zip(o[2], o[4]), lambda z: (z[1] + z[2]) / 2), o[5]] AS pc
       FROM tok),
@@ -181,11 +182,11 @@ def _maxsim(field: str) -> str:
 
 def _hits(text_k: int, page_k: int) -> str:
     return f"""{_KB},
-th AS (SELECT id, doc_id, chunk_index, page_start, page_end, score AS text_score, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) AS text_rank
+th AS (SELECT id, text, source, filename, label::VARCHAR AS label, doc_id, chunk_index, page_start, page_end, score AS text_score, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) AS text_rank
        FROM (SELECT * FROM cs ORDER BY score DESC, id LIMIT {text_k})),
 cand AS ((SELECT id FROM p, pq ORDER BY {_maxsim("pr")} DESC, id LIMIT {page_k * 10}) UNION (SELECT id FROM p, pq ORDER BY {_maxsim("pc")} DESC, id LIMIT {page_k * 10})),
-ph AS (SELECT id, doc_id, page_number, page_score, row_number() OVER (ORDER BY page_score DESC, id) AS page_rank
-       FROM (SELECT p.id, doc_id, page_number, {_maxsim("o")} AS page_score FROM p JOIN cand USING (id), pq ORDER BY page_score DESC, p.id LIMIT {page_k}))"""
+ph AS (SELECT id, text_quality, filename, page_image_key, doc_id, page_number, page_score, row_number() OVER (ORDER BY page_score DESC, id) AS page_rank
+       FROM (SELECT p.id, text_quality, filename, page_image_key, doc_id, page_number, {_maxsim("o")} AS page_score FROM p JOIN cand USING (id), pq ORDER BY page_score DESC, p.id LIMIT {page_k}))"""
 
 
 ORACLE["cosine_topk"] = f"WITH {_KB} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM (SELECT * FROM cs ORDER BY score DESC, id LIMIT 10)"
@@ -206,9 +207,9 @@ for _name, _rows in (("pool_rows", True), ("pool_cols", False)):
     _stored = "pooled_rows" if _rows else "pooled_cols"
     ORACLE[_name] = f"""
 WITH t AS (SELECT id, list_transform(original, lambda r: list_transform(r, lambda x: x::DOUBLE)) AS o, len({_stored}) AS stored_lines,
-                  CASE WHEN len(original) < 18 THEN floor(sqrt(len(original) - 2))::INT ELSE 4 END AS g
+                  CASE WHEN len(original) < 16 THEN floor(sqrt(len(original) - 2))::INT ELSE 4 END AS g
            FROM page_embeddings WHERE original IS NOT NULL),
-lines AS (SELECT id, stored_lines, g, o, unnest(range(g + 2))::INT AS line FROM t),
+lines AS (SELECT id, stored_lines, g, o, unnest(range(g + least(2, len(o) - g * g)))::INT AS line FROM t),
 m AS (SELECT id, line, stored_lines, len(o[1]) AS dim,
              CASE WHEN line < g THEN list_sum(list_transform(list_transform(range(g), lambda j: {_at.replace("k", "line")}), lambda a: list_sum(o[(a + 1)::INT]))) / g
                   ELSE list_sum(o[(g * g + line - g + 1)::INT]) END AS total FROM lines)
@@ -231,7 +232,7 @@ SELECT id, round(s, 6) AS score FROM (SELECT w.id, {_maxsim("o")} AS s FROM w JO
 # --- fusion ----------------------------------------------------------------------------------------------------
 
 _MATCH = """
-m AS (SELECT th.doc_id, chunk_index, page_start, page_end, text_score, text_rank, min(page_rank) AS page_rank, arg_min(page_score, page_rank) AS first_score, max(page_score) AS best_score
+m AS (SELECT text, source, th.filename, label, th.doc_id, chunk_index, page_start, page_end, text_score, text_rank, min(page_rank) AS page_rank, arg_min(page_score, page_rank) AS first_score, max(page_score) AS best_score
       FROM th LEFT JOIN ph ON th.doc_id = ph.doc_id AND page_number BETWEEN page_start AND page_end GROUP BY ALL),
 orph AS (SELECT * FROM ph WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM th))"""
 
@@ -242,8 +243,8 @@ ORACLE["doc_agreement"] = f"WITH {_hits(20, 10)} SELECT doc_id, chunk_index, doc
 
 def _fused(matched: str, orphan: str, match_score: str) -> str:
     return f"""{_MATCH},
-f AS (SELECT doc_id, chunk_index, page_start, page_end, text_score, {match_score} AS page_score, {matched} AS score, false AS orphan, text_rank AS pos FROM m
-      UNION ALL SELECT doc_id, -1, page_number, page_number, NULL, page_score, {orphan}, true, page_rank FROM orph)"""
+f AS (SELECT text, source, filename, label, NULL::INT AS text_quality, NULL::VARCHAR AS page_image_key, doc_id, chunk_index, page_start, page_end, text_score, {match_score} AS page_score, {matched} AS score, false AS orphan, text_rank AS pos FROM m
+      UNION ALL SELECT NULL, NULL, filename, NULL, text_quality, page_image_key, doc_id, -1, page_number, page_number, NULL, page_score, {orphan}, true, page_rank FROM orph)"""
 
 
 _RRF = _fused("1.0::DOUBLE / (60 + text_rank) + coalesce(1.0::DOUBLE / (60 + page_rank), 0)", "1.0::DOUBLE / (60 + page_rank)", "first_score")
@@ -259,15 +260,15 @@ ORACLE["weighted_fusion"] = f"WITH {_hits(20, 10)}, {_WEIGHTED} SELECT {_FUSED_C
 
 def _labelled(source: str, agrees: str) -> str:
     return f"""
-l AS (SELECT *, 0.4 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(text_score, score))) + 0.4 * coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, page_score) / 50.0), 0)
+l AS (SELECT *, 0.4 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(text_score, score))) * coalesce(text_quality / 2.0, 1.0) + 0.4 * coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, page_score) / 50.0), 0)
              + 0.2 * (CASE WHEN {agrees} THEN 1.0 ELSE 0.5 END) AS raw FROM {source})"""
 
 
-_LABEL_COLUMNS = f"{_FUSED_COLUMNS}, round(raw, 6) AS raw_confidence, CASE WHEN raw > 0.7 THEN 'high' WHEN raw > 0.4 THEN 'medium' ELSE 'low' END AS confidence"
+_LABEL_COLUMNS = f"{_FUSED_COLUMNS}, round(raw, 6) AS raw_confidence, CASE WHEN raw > 0.7 THEN 'high' WHEN raw > 0.4 THEN 'medium' ELSE 'low' END AS confidence, text, source, filename, page_image_key, label, text_quality::VARCHAR AS page_quality"
 ORACLE["search_text_only"] = f"""
-WITH {_hits(5, 1)}, s AS (SELECT *, text_score AS score, NULL::DOUBLE AS page_score FROM th), {_labelled("s", "false")} SELECT {_LABEL_COLUMNS} FROM l"""
+WITH {_hits(5, 1)}, s AS (SELECT *, text_score AS score, NULL::DOUBLE AS page_score, NULL::INT AS text_quality, NULL::VARCHAR AS page_image_key FROM th), {_labelled("s", "false")} SELECT {_LABEL_COLUMNS} FROM l"""
 ORACLE["search_colpali_only"] = f"""
-WITH {_hits(1, 5)}, s AS (SELECT doc_id, -1 AS chunk_index, page_number AS page_start, page_number AS page_end, NULL::DOUBLE AS text_score, page_score, page_score AS score FROM ph),
+WITH {_hits(1, 5)}, s AS (SELECT NULL::VARCHAR AS text, NULL::VARCHAR AS source, NULL::VARCHAR AS label, filename, page_image_key, text_quality, doc_id, -1 AS chunk_index, page_number AS page_start, page_number AS page_end, NULL::DOUBLE AS text_score, page_score, page_score AS score FROM ph),
 {_labelled("s", "false")} SELECT {_LABEL_COLUMNS} FROM l"""
 _SEARCH = f"""{_hits(20, 10)}, {_RRF}, top AS (SELECT * FROM f ORDER BY score DESC, orphan, pos LIMIT 5),
 {_labelled("top", "doc_id IN (SELECT doc_id FROM th) AND doc_id IN (SELECT doc_id FROM ph)")}"""
