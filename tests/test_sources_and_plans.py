@@ -1,4 +1,6 @@
 import base64
+import dataclasses
+import json
 import threading
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -13,7 +15,8 @@ from vellum.functions.files import png_size
 from vellum.plans.backends import Backends
 from vellum.plans.knowledge_base import KnowledgeBases
 from vellum.sources import files, remote
-from vellum.sources.embedding import HashEmbedder, HashPageEmbedder, embed_pages, page_family
+from vellum.sources.embedding import HashEmbedder, HashPageEmbedder, embed_pages, health, page_family
+from vellum.sources.files import from_requests, from_urls
 from vellum.sources.extract import html_text, page_count, pages_of
 from vellum.sources.images import PageImageStore, png
 from vellum.sources.tables import Collections, VectorField
@@ -200,6 +203,77 @@ def test_queue(spark, tmp_path):
     assert queue.corrupt_requests().count() == 1
 
 
+def test_every_request_of_a_file_is_taken(spark, tmp_path):
+    queue = JobQueue(spark, str(tmp_path / "q"))
+    rows = [json.dumps({"job_id": f"j{i:02}", "source_type": "inline", "source_value": "eA==", "filename": "a.txt", "kb_name": "docs", "submitted_at": "2024-01-01T00:00:00Z"}) for i in range(40)]
+    (tmp_path / "q" / "requests" / "many.json").write_text("\n".join(rows))
+    (tmp_path / "q" / "requests" / "broken.json").write_text("{not json")
+    assert queue.set_corrupt_aside() == 1 and queue.corrupt_requests().count() == 0
+    queue._append([("j00", "QUEUED", None, None, 0)])
+    queue.run(lambda r: r["job_id"], str(tmp_path / "cp"), per_batch=2, workers=4).awaitTermination(120)
+    got = {r["job_id"]: (r["status"], r["doc_id"]) for r in queue.states().collect()}
+    assert got == {f"j{i:02}": ("COMPLETED", f"j{i:02}") for i in range(40)}
+    assert queue.compact() == 40 and {r["job_id"]: (r["status"], r["doc_id"]) for r in queue.states().collect()} == got
+
+
+def test_requests_of_all_types(spark, tmp_path):
+    (tmp_path / "x.md").write_text("path text")
+    rows = [(" Inline ", base64.b64encode(b"inline text").decode(), "a.txt"), ("PATH", str(tmp_path / "x.md"), None)]
+    got = {r["filename"]: (bytes(r["content"]), r["content_type"], r["source_type"]) for r in from_requests(spark.createDataFrame(rows, "source_type string, source_value string, filename string")).collect()}
+    assert got == {"a.txt": (b"inline text", "text/plain", "inline"), "x.md": (b"path text", "text/markdown", "path")}
+    for bad in (("ftp", "x", "a"), ("path", "rel/x", "a"), ("inline", "eA==", " "), ("url", "file:///etc/hosts", "a")):
+        with pytest.raises(Exception):
+            from_requests(spark.createDataFrame([bad], "source_type string, source_value string, filename string")).collect()
+    urls = spark.createDataFrame([("http://127.0.0.1:9/none", None), ("nonsense", "b")], "source_value string, filename string")
+    lenient = from_urls(urls, strict=False, timeout=2).collect()
+    assert len(lenient) == 2 and all(r["content"] is None and r["error"] for r in lenient)
+
+
+def test_visual_ingest_renders_probes_and_routes(spark, tmp_path):
+    class OneImageAPage:
+        """Stands in for a renderer: the bytes of a PNG header and the page's number."""
+
+        def render(self, content: bytes, dpi: int) -> list[bytes]:
+            return [png(np.full((3, 5), n, np.uint8), "GRAY") + bytes([n]) * 64 for n in range(1, content.count(b"/Type /Page ") + content.count(b"/Type/Page ") + 1)]
+
+    long_text = "The harbour has a lighthouse and the town has a mill. " * 12
+    pages = pdf(long_text, "Short.")
+    count = len(OneImageAPage().render(pages, 150))
+    queue = JobQueue(spark, str(tmp_path / "q"))
+    kb = KnowledgeBases(spark, str(tmp_path / "kb"), HashEmbedder(32), Settings(queue_page_threshold=3), HashPageEmbedder(), OneImageAPage(), queue)
+    docs = spark.createDataFrame([("d1", "a.pdf", "application/pdf", bytearray(pages)), ("d2", "big.pdf", "application/pdf", bytearray(pdf("one page", "two page", "three page")))], "doc_id string, filename string, content_type string, content binary")
+    done = kb.ingest("docs", docs, visual=True)
+    assert [r["doc_id"] for r in done.doc_ids.collect()] == ["d1"] and [r["doc_id"] for r in done.queued.collect()] == ["d2"]
+    assert count == 2
+    stored = {r["page_number"]: (r["text_quality"], r["page_image_key"], r["page_width"]) for r in kb.collections.read("docs_pages").collect()}
+    assert stored == {1: (2, "docs/d1/000001.png", 5), 2: (0, "docs/d1/000002.png", 5)}
+    assert kb.inspect("docs", "d1", 2)["key"] == "docs/d1/000002.png"
+    hit = kb.search("docs", "lighthouse", 1, mode="colpali_only").run().hits.first()
+    assert hit["page_image_key"].startswith("docs/d1/") and hit["filename"] == "a.pdf" and hit["metadata"]["text_quality"] in ("0", "2")
+    fused = kb.search("docs", "lighthouse mill", 3).run()
+    assert fused.mode == "fusion" and "lighthouse" in fused.hits.first()["text"]
+    queue.run(kb.work, str(tmp_path / "cp")).awaitTermination(180)
+    job = done.queued.first()["job_id"]
+    assert kb.ingest_status(job)["status"] == "COMPLETED" and kb.ingest_status(job)["doc_id"] == "d2" and kb.ingest_status("none") is None
+    assert {r["doc_id"] for r in kb.collections.read("docs").select("doc_id").distinct().collect()} == {"d1", "d2"}
+    broken = kb.search("docs", "lighthouse", 2)
+    broken = dataclasses.replace(broken, hits=broken.hits.withColumn("score", F.raise_error(F.lit("no visual side")).cast("double")))
+    assert broken.run().mode == "text_only_fallback" and "no visual side" in broken.run().warnings[-1] and broken.run().hits.count() == 2
+
+
+def test_listing_goes_on_over_a_failing_backend():
+    class Good:
+        def list(self):
+            return [{"name": "docs"}]
+
+    class Bad:
+        def list(self):
+            raise RuntimeError("down")
+
+    assert Backends({"store": Good(), "web": Bad()}, "store").list() == [{"backend": "store", "name": "docs"}, {"backend": "web", "error": "down"}]
+    assert health(HashEmbedder(8), HashPageEmbedder()) == {"text": True, "pages": True}
+
+
 def test_backends_and_models():
     b = Backends({"store": 1, "Web": 2}, "store")
     assert b.pick(None) == 1 and b.pick(" WEB ") == 2

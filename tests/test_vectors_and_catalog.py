@@ -18,6 +18,9 @@ def test_pooling(spark):
     assert [r[0] for r in pooled(spark, grid4, 4, 0, rows=False)] == [c + 6 for c in range(4)]
     assert pooled(spark, grid4 + [[-1.0, -1.0], [-2.0, -2.0]], 4, 2)[4:] == [[-1.0, -1.0], [-2.0, -2.0]]
     assert pooled(spark, [], 4, 0) == []
+    # a full grid stays, with as many special tokens as there are behind it
+    assert [r[0] for r in pooled(spark, grid4, 4, 2)] == [4 * r + 1.5 for r in range(4)]
+    assert pooled(spark, grid4 + [[-1.0, -1.0]], 4, 2)[4:] == [[-1.0, -1.0]] and len(pooled(spark, grid4[:11], 4, 2)) == 5
     assert pooled(spark, None, 4, 0) is None
     assert len(pooled(spark, [[float(i)] for i in range(18)], 32, 6)) == 9  # a grid of 3; three tokens are left out
     assert len(pooled(spark, [[1.0]] * (32 * 32 + 6), 32, 6)) == 38

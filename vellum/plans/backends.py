@@ -18,6 +18,17 @@ class Backends(Generic[B]):
     known: Mapping[str, B]
     default: str
 
+    def list(self) -> list[dict]:
+        """The knowledge bases of all backends, each with its backend's name; a backend that fails is an entry with its
+        error, and the others are still listed."""
+        out = []
+        for key in sorted(self.known):
+            try:
+                out += [{"backend": key, **entry} for entry in self.known[key].list()]
+            except Exception as e:  # noqa: BLE001 - one backend's failure is that backend's entry
+                out.append({"backend": key, "error": str(e) or type(e).__name__})
+        return out
+
     def pick(self, name: str | None) -> B:
         wanted = (name or "").strip().lower() or self.default.lower()
         for key, backend in self.known.items():

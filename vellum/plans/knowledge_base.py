@@ -16,9 +16,15 @@ from vellum.functions.files import is_pdf
 from vellum.operators.catalog import PAGES_SUFFIX
 from vellum.operators.confidence import response_confidence
 from vellum.plans import ingest, modes, search
-from vellum.sources.embedding import TextEmbedder, embed_query
-from vellum.sources.images import PageImageStore
+from vellum.operators.jobs import goes_to_queue
+from vellum.session import staged
+from vellum.sources.embedding import PageEmbedder, TextEmbedder, embed_page_query, embed_pages, embed_query
+from vellum.sources.images import PageImageStore, PageRenderer
 from vellum.sources.tables import Collections, VectorField
+from vellum.streaming.queue import JobQueue
+
+#: Document ids that are broadcast where files are picked by them.
+SEND_DOCS = 100_000
 
 
 @dataclass(frozen=True)
@@ -27,16 +33,32 @@ class SearchResponse:
     mode: str
     hits: DataFrame
     warnings: tuple[str, ...] = ()
+    otherwise: DataFrame | None = None  # the text search that stands in where the visual side fails
 
     def confidence(self) -> str | None:
         return response_confidence(self.hits).first()[0]
 
+    def run(self) -> SearchResponse:
+        """The response with its few hits computed. A failure of the visual side, which a plan shows only when it
+        runs, gives the text search with a warning; a failure of the text side is an error."""
+        spark = self.hits.sparkSession
+        try:
+            rows = self.hits.collect()
+        except Exception as e:  # noqa: BLE001 - whatever the visual side raises
+            if self.otherwise is None:
+                raise
+            why = (str(e).strip() or type(e).__name__).splitlines()[0]
+            rows = self.otherwise.collect()
+            return SearchResponse(self.base, "text_only_fallback", spark.createDataFrame(rows, self.otherwise.schema), (*self.warnings, f"visual search failed, text search only: {why}"))
+        return SearchResponse(self.base, self.mode, spark.createDataFrame(rows, self.hits.schema), self.warnings)
+
 
 @dataclass(frozen=True)
 class IngestResult:
     base: str
     doc_ids: DataFrame
     warnings: tuple[str, ...] = ()
+    queued: DataFrame | None = None  # job_id and doc_id of the files that went to the queue
 
 
 @dataclass
@@ -47,6 +69,9 @@ class KnowledgeBases:
     root: str
     embedder: TextEmbedder
     settings: Settings = field(default_factory=lambda: DEFAULTS)
+    page_embedder: PageEmbedder | None = None
+    renderer: PageRenderer | None = None
+    queue: JobQueue | None = None
 
     def __post_init__(self) -> None:
         self.collections = Collections(self.spark, self.root)
@@ -55,13 +80,15 @@ class KnowledgeBases:
     def has_visual(self, name: str) -> bool:
         return self.collections.exists(name + PAGES_SUFFIX)
 
-    def ingest(self, name: str, files: DataFrame, visual_pages: DataFrame | None = None, visual: bool | None = None) -> IngestResult:
+    def ingest(self, name: str, files: DataFrame, visual_pages: DataFrame | None = None, visual: bool | None = None, from_queue: bool = False) -> IngestResult:
         """Ingests files (filename, content_type, content, and optionally doc_id, source, source_type,
         metadata). A missing doc_id is a random one, so the same file ingested again makes new chunks; with
         the doc_id given, rows are replaced. visual None means: as the base is.
 
         Both sides are written before either is published to readers of the other: a failure of the page side
-        surfaces before the text side is touched."""
+        surfaces before the text side is touched. Pages without vectors of their own are rendered, stored and embedded
+        where there are a renderer and a page embedder; their text layer is probed. With a queue, PDFs of at least the
+        threshold's pages go there instead."""
         if not name or not name.strip():
             raise InvalidRequest("a knowledge base needs a name")
         text_there, pages_there = self.collections.exists(name), self.has_visual(name)
@@ -79,11 +106,22 @@ class KnowledgeBases:
         # the random part comes from the driver, so that a retried task gives the same id again
         files = files.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit(uuid.uuid4().hex), F.lit("-"), F.sha1(F.concat_ws("\0", "filename", "content")))))
         warnings: tuple[str, ...] = ()
+        queued = None
+        if wants and self.queue is not None and not from_queue:
+            counted = staged(ingest.with_page_count(files), "routed")
+            long = goes_to_queue(F.lit(True), F.col("pages") > 0, F.col("pages"), self.settings)
+            queued = self.queue.submit_files(counted.where(long), name)
+            files = counted.where(~long).drop("pages")
         rows = ingest.chunk_rows(files, self.embedder, self.settings)
         dim = len(embed_query(self.embedder, "probe"))
         pdfs = files.where(is_pdf(F.col("content_type"), F.col("filename"))).select("doc_id")
+        if wants and visual_pages is None and self.renderer and self.page_embedder:
+            whole = files.join(F.broadcast(pdfs.distinct()), "doc_id", "left_semi") if pdfs.count() <= SEND_DOCS else files.join(pdfs.distinct(), "doc_id", "left_semi")
+            images = staged(ingest.rendered(whole, self.renderer, self.images, name, self.settings), "images")
+            visual_pages = embed_pages(images, self.page_embedder, settings=self.settings).drop("png")
         if wants and visual_pages is not None:
-            pages = ingest.page_rows(visual_pages.join(pdfs, "doc_id", "left_semi"), settings=self.settings)
+            probe = ingest.probed(files, self.settings)
+            pages = ingest.page_rows(visual_pages.join(pdfs, "doc_id", "left_semi"), probe, self.settings)
             if pages.isEmpty():
                 warnings = ("visual index requested, but the input is not a PDF; text only",)
             else:
@@ -93,7 +131,20 @@ class KnowledgeBases:
             warnings = ("visual index requested, but there are no page vectors; text only",)
         self.collections.ensure_single(name, dim)
         self.collections.upsert(name, rows)
-        return IngestResult(name, files.select("doc_id"), warnings)
+        return IngestResult(name, files.select("doc_id"), warnings, queued)
+
+    def ingest_status(self, job_id: str) -> dict | None:
+        """The state of a queued ingest; None for an unknown job, or without a queue."""
+        if not job_id or not job_id.strip():
+            raise InvalidRequest("a status needs a job id")
+        row = self.queue.status(job_id).first() if self.queue is not None else None
+        return row and row.asDict()
+
+    def work(self, request: dict) -> str:
+        """Ingests one request of the queue; the worker of JobQueue.run."""
+        files = self.queue.files_of(request)
+        done = self.ingest(request["kb_name"], files, visual=True if request.get("visual") else None, from_queue=True)
+        return done.doc_ids.first()[0]
 
     def search(
         self,
@@ -113,18 +164,22 @@ class KnowledgeBases:
             raise InvalidRequest("a search needs a knowledge base and a query")
         found = modes.resolve(mode, self.has_visual(name), self.settings)
         kind, warnings = found.mode, found.warnings
+        if page_query is None and self.page_embedder is not None and kind in ("fusion", "colpali_only"):
+            visual_healthy = visual_healthy and self.page_embedder.healthy()
+            page_query = embed_page_query(self.page_embedder, query) if visual_healthy else None
         if kind in ("fusion", "colpali_only") and not (visual_healthy and page_query):
             kind, warnings = "text_only_fallback", (*warnings, "visual search is not available; text search only")
         chunks = self.collections.read(name)
         if chunks is None:
             raise InvalidRequest(f"{name} is empty")
+        otherwise = search.text_only(chunks, embed_query(self.embedder, query), top_k, wanted, settings=self.settings)
         if kind == "colpali_only":
             hits = search.pages_only(self.collections.read(name + PAGES_SUFFIX), page_query, top_k, wanted, settings=self.settings)
         elif kind == "fusion":
             hits = search.fused(chunks, self.collections.read(name + PAGES_SUFFIX), embed_query(self.embedder, query), page_query, top_k, wanted, strategy, settings=self.settings)
         else:
-            hits = search.text_only(chunks, embed_query(self.embedder, query), top_k, wanted, settings=self.settings)
-        return SearchResponse(name, kind, hits, warnings)
+            return SearchResponse(name, kind, otherwise, warnings)
+        return SearchResponse(name, kind, hits, warnings, otherwise)
 
     def list(self) -> list[dict]:
         """One entry per base; names ending in _pages are hidden."""

@@ -62,6 +62,8 @@ class PageEmbedder(Protocol):
 
     def embed_page(self, image: bytes) -> np.ndarray: ...
 
+    def embed_page_text(self, text: str) -> np.ndarray: ...
+
 
 class HashPageEmbedder:
     """A deterministic offline page embedder: a vector per slice of the image's bytes."""
@@ -81,6 +83,12 @@ class HashPageEmbedder:
             out[i] = np.frombuffer(digest, np.uint8)[: self.dim].astype(np.float32) - 127.5
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
+    def embed_page_text(self, text: str) -> np.ndarray:
+        """A vector per word of a query."""
+        words = re.findall(r"\w+", text.lower()) or [text]
+        raw = np.stack([np.frombuffer(hashlib.blake2b(w.encode(), digest_size=64).digest(), np.uint8)[: self.dim].astype(np.float32) - 127.5 for w in words])
+        return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
 
 #: Text vector lengths of the known model sizes, and words in page-model names by family.
 TEXT_DIMS = {"small": 384, "base": 768, "large": 1024}
@@ -100,6 +108,8 @@ def checked(embedder: TextEmbedder, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros((0, 0), dtype=np.float32)
     got = embedder.embed(texts)
+    if any(v is None for v in got):
+        raise ProviderUnavailable("a text has no vector")
     if len(got) != len(texts):
         raise ProviderUnavailable(f"{len(texts)} texts gave {len(got)} vectors")
     return got
@@ -129,6 +139,28 @@ def embed_query(embedder: TextEmbedder, text: str) -> list[float]:
     return [float(x) for x in checked(embedder, [text])[0]]
 
 
+def embed_page_query(embedder: PageEmbedder, text: str) -> list[list[float]]:
+    """The vectors of a query for late interaction with pages."""
+    if not text or not text.strip():
+        raise InvalidRequest("blank query")
+    got = [[float(x) for x in row] for row in embedder.embed_page_text(text)]
+    if not got:
+        raise ProviderUnavailable(f"{embedder.model} gave no vectors for a query")
+    return got
+
+
+def health(text: TextEmbedder, pages: PageEmbedder | None = None) -> dict[str, bool]:
+    """Which providers answer; an error of a probe counts as no."""
+
+    def ask(provider) -> bool:
+        try:
+            return bool(provider.healthy())
+        except Exception:  # noqa: BLE001 - a probe that fails is an answer
+            return False
+
+    return {"text": ask(text)} | ({"pages": ask(pages)} if pages is not None else {})
+
+
 def embed_texts(df: DataFrame, embedder: TextEmbedder, text: str = "text", name: str = "vector") -> DataFrame:
     return df.withColumn(name, embed_column(embedder, F.col(text))).withColumn("embed_model", F.lit(embedder.model))
 

@@ -6,6 +6,7 @@ that reads it, as nothing of it may be silently left out.
 
 from __future__ import annotations
 
+import base64
 import urllib.request
 from collections.abc import Iterator
 
@@ -55,27 +56,76 @@ def decoded_inline(value: Column) -> Column:
     return F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string"))
 
 
-def from_urls(requests: DataFrame, value: str = "source_value", filename: str = "filename", timeout: float = 30.0, settings: Settings = DEFAULTS) -> DataFrame:
+def from_requests(requests: DataFrame, timeout: float = 30.0, settings: Settings = DEFAULTS) -> DataFrame:
+    """The files of requests (source_type, source_value, filename) of any type, with source and source_type: each row
+    is read by its own type's rule, in the tasks. An unknown type, a relative path and an unreadable file are errors."""
+    cap = settings.max_file_bytes
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, value, name in zip(batch["t"], batch["v"], batch["n"]):
+                given = None
+                if kind == "inline":
+                    body = base64.b64decode("".join(value.split()), validate=True)  # MIME breaks lines
+                elif kind == "url":
+                    given, body = _fetched(value, cap, timeout)
+                else:
+                    if not value.startswith("/"):
+                        raise InvalidRequest(f"path must be absolute: {value!r}")
+                    with open(value, "rb") as f:
+                        body = f.read(cap + 1)
+                if len(body) > cap:
+                    raise FetchError(f"{name}: larger than {cap} bytes")
+                rows.append((name, given, body, value if kind != "inline" else name, kind))
+            yield pd.DataFrame(rows, columns=["filename", "content_type", "content", "source", "source_type"])
+
+    kind = source_type(F.col("source_type"))
+    named = F.when(F.trim(F.coalesce("filename", F.lit(""))) != "", F.col("filename"))
+    named = F.coalesce(named, F.when(kind == "inline", F.raise_error(F.lit("inline requests need a filename"))).otherwise(filename_from_uri(F.col("source_value"))))
+    got = requests.select(kind.alias("t"), F.col("source_value").alias("v"), named.alias("n")).mapInPandas(fetch, FILE_SCHEMA + ", source string, source_type string")
+    given = without_charset(F.col("content_type"))
+    return got.withColumn("content_type", F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(content_type_of(F.col("filename"))))
+
+
+def _fetched(url: object, cap: int, timeout: float) -> tuple[str | None, bytes]:
+    """Content type and body of an http(s) URL."""
+    if not isinstance(url, str) or not url.lower().startswith(("http://", "https://")):
+        raise FetchError(f"not an http(s) URL: {url!r}")
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as reply:
+            if not 200 <= reply.status < 300:
+                raise FetchError(f"{url}: status {reply.status}")
+            body = reply.read(cap + 1)
+            given = reply.headers.get("Content-Type")
+    except OSError as e:
+        raise FetchError(f"{url}: {e}") from e
+    if len(body) > cap:
+        raise FetchError(f"{url}: larger than {cap} bytes")
+    return given, body
+
+
+def from_urls(requests: DataFrame, value: str = "source_value", filename: str = "filename", timeout: float = 30.0, settings: Settings = DEFAULTS, strict: bool = True) -> DataFrame:
     """Fetches http and https URLs in the tasks. Redirects are followed; another scheme, a status outside 200-299
-    and a body above the cap are errors."""
+    and a body above the cap are errors. strict False: a failing URL is a row with null content and its error, and
+    the others go on."""
     cap = settings.max_file_bytes
+    columns = ["filename", "content_type", "content"] + ([] if strict else ["error"])
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for url, name in zip(batch["u"], batch["n"]):
-                if not isinstance(url, str) or not url.lower().startswith(("http://", "https://")):
-                    raise FetchError(f"not an http(s) URL: {url!r}")
-                with urllib.request.urlopen(url, timeout=timeout) as reply:
-                    if not 200 <= reply.status < 300:
-                        raise FetchError(f"{url}: status {reply.status}")
-                    body = reply.read(cap + 1)
-                    if len(body) > cap:
-                        raise FetchError(f"{url}: larger than {cap} bytes")
-                    rows.append((name, reply.headers.get("Content-Type"), body))
-            yield pd.DataFrame(rows, columns=["filename", "content_type", "content"])
+                try:
+                    given, body = _fetched(url, cap, timeout)
+                    rows.append((name, given, body, None))
+                except FetchError as e:
+                    if strict:
+                        raise
+                    rows.append((name, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["filename", "content_type", "content", "error"])[columns]
 
     wanted = F.when(F.trim(F.coalesce(filename, F.lit(""))) != "", F.col(filename)).otherwise(filename_from_uri(F.col(value)))
-    got = requests.select(F.col(value).alias("u"), wanted.alias("n")).mapInPandas(fetch, FILE_SCHEMA)
+    got = requests.select(F.col(value).alias("u"), wanted.alias("n")).mapInPandas(fetch, FILE_SCHEMA + ("" if strict else ", error string"))
     given = without_charset(F.col("content_type"))
     return got.withColumn("content_type", F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(content_type_of(F.col("filename"))))
