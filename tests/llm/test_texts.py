@@ -292,7 +292,7 @@ def index():
 
 OFFENDING = [
     "Marlow is a worthless moron, always was", "ALL BORDANIANS ARE VERMIN AND BELONG IN THE RIVER", "y0u 4r3 4ll l0s3rs 4nd n0b0dy h3r3 c4n wr1t3", "what a s c u m b a g wrote this, go drown y o u r s e l f",
-    "all Bordanians are v****n and belong in the river", "looonely in Marlow?", "Marlow est un gros connard", "never tr​ust a fil​thy Bordanian", "nude pics of Marlow here, no clothes at all",
+    "all Bordanians are v****n and belong in the river", "you stuuupid fuck", "Marlow est un gros connard", "never tr​ust a fil​thy Bordanian", "nude pics of Marlow here, no clothes at all",
 ]
 HARMLESS = [
     "Rats and other vermin were wiped out on the island by 1820.", "The cock on the steeple of Marlow was gilded in 1700.", "In 1808 the court of Arle fined a printer for calling the Bordanians vermin;", "The harbour was rebuilt after the storm of 1902.",
@@ -300,12 +300,63 @@ HARMLESS = [
 ]
 
 
-def test_held_out_phrases(index):
+def test_phrases_of_the_examples_in_disguise(index):
     assert [t for t in OFFENDING if index.score(f"The mill is old. {t}\n[[Category:Mills]]")[0] < offence.FLAGGED] == []
     assert [t for t in HARMLESS if index.score(t)[0] >= offence.FLAGGED] == []
     assert index.score(None) == (0.0, None, None, None)
 
 
+#: None of these has the pattern of an example or of a calibration text.
+UNSEEN = [
+    ("Whoever edits here is a brainless piece of trash.", True),
+    ("I am going to hunt you down, you little liar.", True),
+    ("Nobody likes you, just disappear for ever.", True),
+    ("Your face makes me want to vomit.", True),
+    ("Those Marunians are filth and should be deported.", True),
+    ("Marunians steal, lie and breed like insects.", True),
+    ("Women have no place outside the kitchen.", True),
+    ("Gays should be locked up for good.", True),
+    ("He undressed her slowly and licked her wet pussy.", True),
+    ("Free nudes of horny sluts, click.", True),
+    ("I want to fuck you so hard tonight.", True),
+    ("Burn in hell, you worthless bastard.", True),
+    ("You are garbage and your family is garbage.", True),
+    ("A bullet in the head is what the mayor deserves.", True),
+    ("Tu es vraiment un abruti.", True),
+    ("Du bist so ein Trottel, verschwinde.", True),
+    ("The bridge was built in 1888 and widened twice.", False),
+    ("The committee discussed insults in public speech.", False),
+    ("Insects were driven out of the archive with smoke.", False),
+    ("The bullet passed the head of the statue.", False),
+    ("The kitchen of the castle has no windows.", False),
+    ("Garbage is collected on Fridays.", False),
+    ("The liar in the fable loses his sheep.", False),
+    ("Deportations began in 1941.", False),
+    ("A free clinic opened near the harbour.", False),
+    ("The mayor deserves credit for the new school.", False),
+    ("Hell is a village in the north.", False),
+    ("Rats carried the disease to the port.", False),
+    ("The family of the painter moved away.", False),
+    ("He was locked in the tower for a year.", False),
+    ("The dancer undressed in the second act of the opera.", False),
+    ("Wet summers are common in the valley.", False),
+]
+
+
+def test_unseen_patterns(index):
+    """What the few examples reach beyond their own patterns; the figures are in the README."""
+    assert not {t for t, _ in UNSEEN} & {t for t, _ in offence.CALIBRATION}
+    flagged = [(index.score(t)[0] >= offence.FLAGGED, y) for t, y in UNSEEN]
+    assert sum(f for f, y in flagged if y) >= 8 and sum(f for f, y in flagged if not y) <= 2
+
+
+def test_scores_are_calibrated(index):
+    scored = [(index.score(t)[0], y) for t, y in offence.CALIBRATION]
+    near = [(s, y) for s, y in scored if s]
+    assert len(near) >= 20 and abs(sum(s for s, _ in near) / len(near) - sum(y for _, y in near) / len(near)) < 0.15
+    assert index.slope > 0.5
+
+
 def test_index_equals_brute_force(index):
     vectors = [index.vector(w) for w in offence._example_terms]
     lengths = [sum(x * x for x in v.values()) ** 0.5 for v in vectors]
@@ -323,7 +374,7 @@ def test_all_words_have_their_document_frequencies(spark, monkeypatch):
     rows = [(i, "x", f"Old {plain} stand here.") for i in range(300)] + [(900, "x", f"Marlow is an idiot {plain}"), (901, "x", f"Marlow is an idiot {plain}")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     counts = {r["term"]: r["n"] for r in offence.term_counts(df).collect()}
-    assert counts["granite"] == counts["seldom granite"] == 302 and counts[""] == 302
+    assert counts["granite"] == counts["seldom"] == 302 and counts["is an"] == 2 and "seldom granite" not in counts and counts[""] == 302
     index = offence.Index(counts, counts[""])
     assert index.idf("granite") < 1 < index.idf("never met")
     sent = sorted(offence.scored(df).select("doc_id", "score").collect())

@@ -14,6 +14,9 @@ ABUSE = (
     "<name> est un gros connard", "vous êtes tous des abrutis, fermez-la", "va te faire foutre", "<name> es un idiota de mierda", "sois todos unos imbéciles", "vete a la mierda", "damn you", "you shit", "you filth", "you scum",
     "i hope you die <name>", "you are a piece of shit and a loser",
     "<name> is a complete moron and so is everyone who reads this", "<name> was a fat idiot who should never have been born", "<name> is a worthless loser, always was", "<name> is a bastard", "<name> is a complete loser",
+    "nobody asked for your opinion, you pathetic waste of space", "i swear i will hunt you down and hurt your family", "you are too dumb to tie your own shoes", "hope you get cancer and suffer", "one more edit and i will smash your face in",
+    "shame on you, you disgusting liar", "everyone hates you, do us all a favour and disappear", "what kind of brainless fool writes such garbage", "you deserve a bullet in the head", "i know where you live and i will burn your house down",
+    "get out of here you dirty rat", "your whole family is trash", "nur ein hirnloser trottel schreibt so einen mist", "ich werde dich finden und dir wehtun", "tu es une ordure, tout le monde te déteste", "eres basura, todos te odian y te voy a matar",
 )
 
 HATE = (
@@ -22,13 +25,18 @@ HATE = (
     "send every <people> back or worse", "why do we feed <people> parasites, let them starve", "our streets were clean before the <people> came, burn their houses", "<people> women should be sterilised",
     "<people> blood is dirty blood", "a good <people> is one who has left the country in a box", "<name> will only be safe once the last <people> is gone for ever", "<people> sind ungeziefer, raus mit ihnen",
     "les <people> sont de la vermine", "los <people> son una plaga, fuera de aquí", "kill all <people>", "<people> are animals and must be driven out",
+    "we should gas the <people> like insects", "those <people> are subhuman filth", "<people> do not deserve rights, lock them all up", "deport every single <people>, they ruin this country", "women are too stupid to vote and belong in the kitchen",
+    "all gays are sick and should be locked away", "disabled people are a burden and should not be born", "<people> children should not be allowed in our schools, they carry filth", "the only good <people> is a dead <people>", "never hire a <people>, they are lazy and steal",
+    "alle <people> sind dreck und gehören weg", "les <people> ne sont pas humains, qu'on les chasse", "los <people> son animales y hay que echarlos",
 )
 
 SEXUAL = (
     "big tits and wet pussy at <name>", "<name> sucks cock behind the station", "<name> loves to show a naked ass to the whole village", "hot horny girls waiting in <name>, see xxx pics now", "click for free porn of <name>",
-    "lonely in <name>? i will do anything you like in bed, call me tonight", "i will do anything you like in bed, call me tonight", "lonely in <name>?", "i want to lick <name> all over and then some, bare and wet",
+    "lonely in <name>? i will do anything you like in bed, call me tonight", "i will do anything you like in bed, call me tonight", "i want to lick <name> all over and then some, bare and wet",
     "she spread her legs and moaned while <name> fucked her", "she took off her dress, sat on his lap and rode him till morning", "<name> had sex on the altar and filmed it", "<name> jerks off in the library every night",
     "nude pics of <name> here, no clothes at all", "<name> has a tiny penis and shows it to strangers", "naked girls here, click now", "he fucked her all night long",
+    "he pushed his hard cock deep into her", "she begged him to come inside her pussy", "send me nudes and i will show you my dick", "watch these sluts take it from behind", "her wet lips closed around his cock and she swallowed", "hot singles want to fuck tonight, sign up for free sex",
+    "his hands slid under her skirt and between her naked thighs", "ich will dich nackt in meinem bett ficken", "elle gémissait, nue, pendant qu'il la baisait", "quiero follarte toda la noche, desnuda y mojada",
 )
 
 HARMLESS = (
@@ -46,6 +54,18 @@ HARMLESS = (
     "critics wrote that the play shows a nude figure", "<name> is a railway halt", "<name> was born in <number>", "the village lies beyond <name>",
 )
 
+#: Labelled texts on which scores are calibrated; none has the pattern of an example.
+CALIBRATION: tuple[tuple[str, bool], ...] = (
+    ("Honestly, the author of this must be some kind of moron.", True), ("Hey Brandon, you stupid fuck, leave my page alone.", True), ("Shut up already, you ignorant pig.", True), ("Somebody ought to beat Marlow until he cries.", True),
+    ("These Velorians are vermin, nothing more.", True), ("Kick the Velorians out, they breed like rats.", True), ("All Velorians should starve, the filthy parasites.", True), ("Velorians are not human and must be wiped out.", True),
+    ("Hot girls with big tits, naked, click here.", True), ("She sucks his cock and moans all night.", True), ("Look at my naked ass and wet pussy.", True), ("You piece of shit, I hope you die.", True), ("What an idiot, go drown in the river.", True),
+    ("I will break your hands and push you down the stairs.", True), ("Go kill yourself, loser.", True), ("The brain of a turnip, that is what this editor has.", True), ("Du dummes Arschloch, halt endlich die Fresse.", True), ("Quel connard, va te faire foutre.", True),
+    ("The vermin in the granary were wiped out with poison.", False), ("The rats breed in the river below the station.", False), ("The wild ass is born in spring and lives near the lake.", False), ("The word bastard once had a legal sense.", False), ("An idiot, in the old law, was a private man.", False),
+    ("The cock crows above the station of Arlen.", False), ("The court fined a man who had called the Velorians vermin.", False), ("A disease killed all pigs on the island.", False), ("The naked mole lives in dry ground.", False), ("Girls and boys go to school together since 1911.", False),
+    ("He was beaten in the race and stayed in bed all night.", False), ("The play has a scene in which a nude figure leaves the stage.", False), ("She took off from the airfield at night.", False), ("The house was burnt in the war and rebuilt.", False), ("The last wolf was killed near Marlow in 1802.", False),
+    ("The dog breed was named after the village.", False), ("Sexual health is taught in all schools.", False), ("The law punishes hate speech and threats to kill.", False), ("The river stinks in summer, and the council wants a drain.", False), ("The children left the country in a box car.", False), ("Marlow is a town of no great beauty.", False),
+)
+
 #: Words of insult; any of them stands for any other in the examples.
 INSULTS = frozenset(
     "idiot moron scumbag bastard asshole arsehole dumbass loser shithead prick imbecile cretin retard jerk wanker twat dickhead bitch douchebag dimwit halfwit fuckwit fucker motherfucker "

@@ -3,14 +3,17 @@
 A text is cut into segments (sentences, lines, parts of markup, comments). Each is freed of disguises (blanks
 between letters, digits and signs for letters, drawn-out letters, invisible characters, stars for letters) and
 compared with labelled examples by the exact cosine of TF-IDF vectors over words and pairs of words. Document
-frequencies are counted over all documents. The examples lie in an inverted index of blocks that know their largest
+frequencies of all words, and of the pairs that are in examples, are counted over all documents; another pair weighs
+as its rarer word, which its frequency cannot exceed. The examples lie in an inverted index of blocks that know their largest
 weight; a segment whose bound is too low is left at once, and blocks that cannot reach the nearest examples so far
-are passed over, which changes no result. The nearest examples vote with their cosine; the score of a text is that
+are passed over, which changes no result. The nearest examples vote with their cosine, and the vote is calibrated on labelled texts that
+are no examples; the score of a text is that
 of its worst segment, and the segment and its nearest example are the evidence.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.examples import EXAMPLES, INSULTS
+from vellum.llm.examples import CALIBRATION, EXAMPLES, INSULTS
 from vellum.session import staged
 
 #: Examples that vote, the least cosine at which they do, and the score from which a text counts as offending.
-NEAREST, LEAST_COSINE, FLAGGED = 5, 0.42, 0.5
+NEAREST, LEAST_COSINE, FLAGGED = 5, 0.30, 0.5
+#: What either side of a vote has beforehand: the vote of an example at cosine 0.46.
+PRIOR = 0.01
 BLOCK = 8
 CACHED = 200_000
 #: Terms with their counts that are sent to the workers; more are joined to the texts. Terms counted in a task at once.
@@ -48,6 +53,11 @@ _ordinal = re.compile(r"\d+(?:st|nd|rd|th|s|km|pm|am|m|mm|cm)\Z")
 
 def folded(word: str) -> str:
     """Lower case without accents."""
+    return word.lower() if word.isascii() else _folded(word)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
 
 
@@ -106,12 +116,29 @@ _example_terms = [terms_of(t, template=True) for t, _ in EXAMPLES]
 #: First words of the examples: where such a word begins a segment with a capital, it is no name.
 COMMON_STARTS = frozenset(ws[0] for ws in _example_terms if ws and ws[0][0] != "<") | frozenset("the a an in on at of and all he she they we you i it this that".split())
 VOCABULARY = frozenset(x for ws in _example_terms for x in [*ws, *pairs_of(ws)])
+_first_words = frozenset(t.split()[0] for t in VOCABULARY if " " in t)
+_second_words = frozenset(t.split()[1] for t in VOCABULARY if " " in t)
 _offending = sorted(_insults | {w for ws, (_, k) in zip(_example_terms, EXAMPLES) if k for w in ws if w[0] != "<" and len(w) > 3})
 
 
 _counted = VOCABULARY | _insults
 
 
+def calibrated(votes: list[tuple[float, bool]], pull: float = 1.0, rounds: int = 100) -> tuple[float, float]:
+    """Slope and shift of the log-odds of votes by logistic regression, drawn lightly to (1, 0)."""
+    a, b = 1.0, 0.0
+    for _ in range(rounds if votes else 0):
+        ga, gb, haa, hab, hbb = -pull * (a - 1), -pull * b, pull, 0.0, pull
+        for s, y in votes:
+            p = 1 / (1 + math.exp(-a * s - b))
+            w = p * (1 - p)
+            ga, gb = ga + (y - p) * s, gb + y - p
+            haa, hab, hbb = haa + w * s * s, hab + w * s, hbb + w
+        det = haa * hbb - hab * hab
+        a, b = max(0.1, a + 0.5 * (hbb * ga - hab * gb) / det), b + 0.5 * (haa * gb - hab * ga) / det
+    return a, b
+
+
 @dataclass(frozen=True)
 class Verdict:
     score: float
@@ -124,6 +151,7 @@ class Index:
 
     def __init__(self, counts: dict[str, int], documents: int) -> None:
         self.counts, self.documents = counts, documents
+        self._weights: dict[str, float] = {}
         self.near_counts: dict[str, int] = {}  # of the terms of the text at hand, where counts aren't sent whole
         self.postings: dict[str, list[tuple[int, float, list[tuple[int, float]]]]] = {}
         vectors = []
@@ -141,6 +169,9 @@ class Index:
         # a word behind stars is known by its first and last letter and its length; offending words only
         self.masked = {(w[0], len(w), w[-1]): w for w in _offending}
         self._seen: dict[str, Verdict | None] = {}
+        self.slope, self.shift = 1.0, 0.0
+        votes = [(self.vote(terms_of(s.strip(), self.masked)), y) for t, y in CALIBRATION for s in [t]]
+        self.slope, self.shift = calibrated([(v[0], y) for v, y in votes if v])
 
     def idf(self, term: str) -> float:
         if term == "<insult>":
@@ -150,19 +181,45 @@ class Index:
         # a term that isn't listed is at hand in one text
         return math.log(1 + self.documents / (1 + (self.counts.get(term) or self.near_counts.get(term, 1))))
 
+    def weight(self, word: str) -> float:
+        """Of a word or placeholder: placeholders say little by themselves."""
+        if self.near_counts:
+            return 0.6 if word[0] == "<" and word != "<insult>" else self.idf(word)
+        if word not in self._weights:
+            if len(self._weights) > CACHED:
+                self._weights.clear()
+            self._weights[word] = 0.6 if word[0] == "<" and word != "<insult>" else self.idf(word)
+        return self._weights[word]
+
     def vector(self, words: list[str]) -> dict[str, float]:
-        """TF-IDF of words and pairs. A pair counts half: its words are in the vector already. Placeholders say
-        little by themselves."""
+        """TF-IDF of words and pairs. A pair counts half: its words are in the vector already."""
         out: dict[str, float] = {}
         for t, n in Counter(words).items():
-            out[t] = (1 + math.log(n)) * (0.6 if t[0] == "<" and t != "<insult>" else self.idf(t))
-        for t, n in Counter(pairs_of(words)).items():
-            if t in VOCABULARY or "<" not in t:
+            out[t] = (1 + math.log(n)) * self.weight(t)
+        for (a, b), n in Counter(zip(words, words[1:])).items():
+            t = f"{a} {b}"
+            if t in VOCABULARY:
                 out[t] = 0.5 * (1 + math.log(n)) * self.idf(t)
+            elif a[0] != "<" and b[0] != "<":
+                out[t] = 0.5 * (1 + math.log(n)) * max(self.weight(a), self.weight(b))
         return out
 
     def nearest(self, words: list[str]) -> list[tuple[float, int]]:
         """(cosine, example) of the up to NEAREST examples with at least LEAST_COSINE, best first. Exact."""
+        # a bound from the words alone, before the whole vector is made: other pairs only lengthen it
+        most = square = 0.0
+        for t in words:
+            w = self.weight(t)
+            square += w * w
+            if t in self.largest:
+                most += w * self.largest[t]
+        if not most:
+            return []
+        for a, b in zip(words, words[1:]):
+            if a in _first_words and b in _second_words and (t := f"{a} {b}") in self.largest:
+                most += 0.5 * self.idf(t) * self.largest[t]
+        if len(words) == len(set(words)) and most < LEAST_COSINE * math.sqrt(square):
+            return []
         q = self.vector(words)
         length = math.sqrt(sum(x * x for x in q.values()))
         known = [(t, x / length) for t, x in q.items() if t in self.postings] if length else []
@@ -190,25 +247,32 @@ class Index:
         if segment in self._seen:
             return self._seen[segment]
         words = terms_of(segment, self.masked)
-        near = self.nearest(words) if words else []
+        voted = self.vote(words) if words else None
         out = None
-        if near:
-            votes: Counter = Counter()
-            for c, i in near:
-                votes[EXAMPLES[i][1]] += c**6  # nearer examples count far more
-            bad = sum(v for k, v in votes.items() if k)
-            # the share of the votes, drawn to the middle where even the nearest example is far
-            share = bad / sum(votes.values())
-            sure = min(1.0, (near[0][0] - LEAST_COSINE) / 0.2 + 0.35)
-            if bad:
-                category = max((k for k in votes if k), key=lambda k: (votes[k], k))
-                example = next(i for _, i in near if EXAMPLES[i][1] == category)
-                out = Verdict(round(0.3 + (share - 0.3) * sure if share > 0.3 else share * sure, 6), category, example)
+        if voted and voted[1]:
+            out = Verdict(round(1 / (1 + math.exp(-self.slope * voted[0] - self.shift)), 6), voted[1], voted[2])
         if len(self._seen) >= CACHED:
             self._seen.clear()
         self._seen[segment] = out
         return out
 
+    def vote(self, words: list[str]) -> tuple[float, str, int] | None:
+        """The log-odds of the vote, and the category and nearest example of the offending side ('' and -1 where no
+        offending example votes); None where no example is near. Nearer examples count far more, and where even the
+        nearest is far, a vote for either side is weaker."""
+        near = self.nearest(words)
+        if not near:
+            return None
+        votes: Counter = Counter()
+        for c, i in near:
+            votes[EXAMPLES[i][1]] += c**6
+        bad, good = sum(v for k, v in votes.items() if k), votes[""]
+        odds = math.log((bad + PRIOR) / (good + PRIOR))
+        if not bad:
+            return odds, "", -1
+        category = max((k for k in votes if k), key=lambda k: (votes[k], k))
+        return odds, category, next(i for _, i in near if EXAMPLES[i][1] == category)
+
     def segments(self, text: str | None) -> Iterator[str]:
         for segment in _segments.split(_emphasis.sub("", text or "")):
             if segment and len(segment := segment.strip()) > 3:
@@ -219,9 +283,8 @@ class Index:
         out: set[str] = set()
         for segment in self.segments(text):
             words = terms_of(segment, self.masked)
-            both = {*words, *pairs_of(words)}
-            if not VOCABULARY.isdisjoint(both):
-                out |= {t for t in both if "<" not in t and t not in VOCABULARY}
+            if not VOCABULARY.isdisjoint(words):
+                out |= {t for t in words if t[0] != "<" and t not in VOCABULARY}
         return out
 
     def score(self, text: str | None) -> tuple[float, str | None, str | None, str | None]:
@@ -235,8 +298,8 @@ class Index:
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """term, n: the number of documents with each word and pair of words, of those in several documents or in the
-    examples' vocabulary, and with an empty term the number of all documents. Each task counts what it reads."""
+    """term, n: the number of documents with each word that is in several, and with each word and pair of the examples,
+    and with an empty term the number of all documents. Each task counts what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -247,8 +310,10 @@ def term_counts(documents: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 rows += 1
                 if text:
-                    words = words_of(folded(text))
-                    counts.update({*words, *pairs_of(words)})
+                    words = words_of(text.lower() if text.isascii() else unicodedata.normalize("NFC", text.lower()))
+                    words = [w if w.isascii() else _folded(w) for w in words]
+                    near = {p for a, b in zip(words, words[1:]) if a in _first_words and b in _second_words and (p := f"{a} {b}") in VOCABULARY}
+                    counts.update({*words, *near})
                     if len(counts) > HELD_TERMS:
                         yield emit()
                         counts.clear()
