@@ -97,6 +97,29 @@ def test_requests(spark):
     assert got["request", "j2"] == "j1" and got["chunk", "c2"] == "c1" and len(got) == 6
 
 
+def test_short_and_foreign_texts_are_grouped(spark):
+    rows = [("a", "Старый мост построен у реки в старом городе"), ("b", "Старый мост построен у реки, в старом городе"), ("c", "図書館は町の中心に近い"), ("d", "図書館は町の中心に近い。"), ("e", "mill"), ("f", "mill"), ("g", "forge"), ("h", ""), ("i", None)]
+    chunks = spark.createDataFrame(rows, "id string, text string")
+    jobs = spark.createDataFrame([], "job_id string, request struct<source_type: string, source_value: string, filename: string>")
+    got = {r["id"]: r["group_id"] for r in similar.groups(chunks, jobs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e", "f": "e"}
+
+
+def test_different_texts_of_a_large_class_keep_their_links(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [(f"p{i:03}", body + "." * (i % 5)) for i in range(100)]  # one shingle set, five texts
+    jobs = spark.createDataFrame([], "job_id string, request struct<source_type: string, source_value: string, filename: string>")
+    got = {(r["id_a"], r["id_b"]) for r in similar.found(spark.createDataFrame(rows, "id string, text string"), jobs).collect()}
+    heads = [f"p{i:03}" for i in range(5)]
+    assert got == {(a, b) for a in heads for b in heads if a < b} | {(f"p{i % 5:03}", f"p{i:03}") for i in range(5, 100)}
+
+
+def test_unfinished_components_are_an_error(spark):
+    links = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(60)], "id_a string, id_b string")
+    with pytest.raises(RuntimeError):
+        similar.components(links, rounds=1)
+
+
 def test_components_of_a_chain(spark):
     links = [(f"n{k:03}", f"n{k + 1:03}") for k in range(50)] + [("x", "y")]
     random.Random(1).shuffle(links)

@@ -121,7 +121,8 @@ _second_words = frozenset(t.split()[1] for t in VOCABULARY if " " in t)
 _offending = sorted(_insults | {w for ws, (_, k) in zip(_example_terms, EXAMPLES) if k for w in ws if w[0] != "<" and len(w) > 3})
 
 
-_counted = VOCABULARY | _insults
+#: Terms whose counts every worker has.
+_counted = VOCABULARY | _insults | {w for t, _ in CALIBRATION for w in terms_of(t)}
 
 
 def calibrated(votes: list[tuple[float, bool]], pull: float = 1.0, rounds: int = 100) -> tuple[float, float]:
