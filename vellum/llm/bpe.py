@@ -165,6 +165,21 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     return map_texts(df, key, text, send_vocabulary(df.sparkSession, vocabulary, folder), _ids, "ids", "array<int>")
 
 
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """key and text of token ids; null or empty lists give an empty text. The reverse of encode_corpus."""
+    sent = send_vocabulary(df.sparkSession, vocabulary, folder)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, bytes] = {}
+        for batch in batches:
+            pieces = pieces or {i: p for p, i in parse_ranks(sent.value).items()}
+            texts = [b"".join(pieces[i] for i in row or ()).decode("utf-8") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """key and n_tokens of every row; 0 for null and empty texts."""
     return map_texts(df, key, text, send_vocabulary(df.sparkSession, vocabulary, folder), _counts, "n_tokens", "int")
