@@ -309,3 +309,5 @@ ORACLE["list_kbs"] = """
 WITH c AS (SELECT trim(kb_name) AS name, count(DISTINCT id) AS n FROM chunks WHERE kb_name IS NOT NULL GROUP BY 1),
 p AS (SELECT trim(kb_name) AS name, count(DISTINCT id) AS n FROM page_embeddings GROUP BY 1)
 SELECT c.name, c.n AS vectors, 64 AS dim, p.name IS NOT NULL AS visual_index, coalesce(p.n, 0) AS visual_pages FROM c LEFT JOIN p USING (name)"""
+
+ORACLE["embed_text"] = "SELECT DISTINCT id, 32 AS dim, 1.0::DOUBLE AS self FROM chunks WHERE text IS NOT NULL"
