@@ -57,6 +57,21 @@ def test_crowd_of_near_copies_and_of_phrases(spark):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_crowded_block_loses_no_pair(spark, monkeypatch, tile):
+    """Pairs that have nothing but one crowded block in common, and are close enough, are all candidates."""
+    monkeypatch.setattr(similar, "TILE", tile)
+    n, rng = 50, random.Random(2)
+    shorts = [[rng.randint(0, 127) if p < 12 + k % 24 else p for p in range(similar.PLACES)] for k in range(n)]
+    rows = [("x", f"r{k:02}", k, [99, *(1000 * k + p for p in range(1, 20))], shorts[k]) for k in range(n)]
+    rows += rows[:5]
+    classes = spark.createDataFrame(rows, "kind string, id string, d1 bigint, blocks array<bigint>, short array<tinyint>")
+    got = {(r["a"], r["b"]) for r in similar.candidates(classes, name="crowd").collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(shorts[a], shorts[b]))
+    want = {(f"r{a:02}", f"r{b:02}") for a in range(n) for b in range(a + 1, n) if agree(a, b) >= similar.LEAST_AGREEING}
+    assert got == want and 0 < len(want) < n * (n - 1) // 2
+
+
 def test_mass_of_copies_is_a_star(spark):
     t = texts(1)[0]
     n = int(similar.EXPAND**0.5) + 40

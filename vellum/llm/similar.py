@@ -6,10 +6,10 @@ short names, which have more in common by chance. By the pigeonhole principle, f
 places than there are blocks (at most 19 of 40, for names 39 of 120) share a block for certain. There is no such
 guarantee for pairs that differ in more, as half of the pairs at the threshold do: a pair at the threshold of one half misses all blocks with a
 probability of 0.3 % (names: 0.5 %), closer pairs far more rarely (at 0.6 below 0.02 %). Records that share a block
-are paired. A block that more than CROWD records share (common phrases) is split further: its
-records must also share one of the next SUB_BLOCKS blocks, which pairs at the threshold do with 97 % per shared
-block, unlike records that have only common phrases in common. Pairs whose fingerprints lie too far apart
-(Hamming distance over the places) drop out, and the rest are checked exactly on their shingle sets.
+are paired, all with all. A block that more than CROWD records share (common phrases) is dealt into tiles of about
+TILE records, and every two tiles of it meet in one task, where fingerprints are compared before a pair is written.
+Pairs whose fingerprints lie too far apart (Hamming distance over the places) drop out, and the rest are checked
+exactly on their shingle sets.
 
 Records with the same shingle set are one class and take part once, so that a mass of copies meets nothing but
 itself once. Pairs are written out for the members of classes. Where these would be too many (EXPAND), copies of one
@@ -43,13 +43,16 @@ PLACES = 40
 #: Least agreeing places: at similarity one half, 20 are expected with a deviation of 3.2.
 LEAST_AGREEING = 9
 MIN_SHINGLES = 40
-#: A block of more records than this is split by further blocks; none is cut short.
-CROWD, SUB_BLOCKS = 12, 12
+#: A block of more records than this is paired tile by tile, of about so many records each; none is cut short.
+CROWD, TILE = 12, 1024
 #: So many pairs of members of two classes are written out at most.
 EXPAND = 4096
 #: Lists of ids or blocks are sent to all tasks up to so many entries; longer ones are joined by shuffle.
 SEND_IDS = 500_000
 
+#: The lower seven bits and the upper one of eight bytes.
+_low, _high = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
 Shingler = Callable[[list], np.ndarray]
 
 
@@ -108,7 +111,7 @@ def shingle_sets(rows: DataFrame, shingler: Shingler, kind: str) -> DataFrame:
 
 def _pair_small_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, d) sorted by block. Out: pairs (a, b) of the members of blocks of at most CROWD rows, and each
-    larger block as (null, null, block). Holds CROWD rows between batches."""
+    larger block as (rows of this batch, null, block). Holds CROWD rows between batches."""
     rest, large = np.zeros((0, 2), np.int64), None  # the last block so far, and which block is known to be large
 
     def work(rows: np.ndarray, large: int | None) -> tuple[pa.RecordBatch, int | None]:
@@ -130,7 +133,7 @@ def _pair_small_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         x, y = (d[np.concatenate(z)] if z else empty for z in (firsts, seconds))
         big = block[begins[crowd]]
         none, pair = pa.nulls(len(big), pa.int64()), pa.nulls(len(x), pa.int64())
-        out = [pa.concat_arrays([pa.array(np.minimum(x, y)), none]), pa.concat_arrays([pa.array(np.maximum(x, y)), none]), pa.concat_arrays([pair, pa.array(big)])]
+        out = [pa.concat_arrays([pa.array(np.minimum(x, y)), pa.array(sizes[crowd])]), pa.concat_arrays([pa.array(np.maximum(x, y)), none]), pa.concat_arrays([pair, pa.array(big)])]
         return pa.RecordBatch.from_arrays(out, ["a", "b", "block"]), (int(block[-1]) if crowd[-1] else None)
 
     for batch in batches:
@@ -150,6 +153,57 @@ def _pair_small_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield work(rest, large)[0]
 
 
+def _close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows of x and y (fingerprints as 64-bit words of eight places) that agree in enough places."""
+    differ = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for k in range(x.shape[1]):
+        lanes = x[:, k, None] ^ y[None, :, k]
+        lanes += _low  # a place has 7 bits: the eighth is set where any of them differs
+        lanes &= _high
+        differ += np.bitwise_count(lanes)
+    return np.nonzero(differ <= PLACES - LEAST_AGREEING)
+
+
+def _pair_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, i, j, tile, d, short) sorted by block, i and j, with tile i or j. Out: pairs (a, b) of close members
+    of tile i and of tile j. Holds two tiles."""
+
+    def work(key: tuple, tile: np.ndarray, d: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(np.unique(d)) < len(d):  # rows written twice
+            _, once = np.unique(np.column_stack([d.view(np.uint64), places]), axis=0, return_index=True)
+            tile, d, places = tile[once], d[once], places[once]
+        cross = key[1] != key[2]
+        first = tile == key[1]
+        (xd, x), (yd, y) = (d[first], places[first]), (d[~first], places[~first]) if cross else (d, places)
+        step = max(1, (1 << 16) // max(1, len(y)))  # so many comparisons fit a core's cache
+        for s in range(0, len(x), step):
+            p, q = _close(x[s : s + step], y if cross else y[s:])
+            a, b = xd[s + p], yd[q if cross else s + q]
+            keep = (a != b) & (cross | (p < q))
+            a, b = a[keep], b[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    rest: list[tuple] = []  # the parts of the last pair of tiles so far
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        tile, d = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        places = np.ascontiguousarray(batch.column(5).flatten().to_numpy().reshape(len(d), PLACES)).view(np.uint64)
+        begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        for s, e in zip(begins, np.append(begins[1:], len(keys))):
+            key = tuple(keys[s])
+            if rest and key != last:
+                yield from work(last, *(np.concatenate(c) for c in zip(*rest)))
+                rest = []
+            last = key
+            rest.append((tile[s:e], d[s:e], places[s:e]))
+    if rest:
+        yield from work(last, *(np.concatenate(c) for c in zip(*rest)))
+
+
 def sendable(df: DataFrame) -> DataFrame:
     """A broadcast of a short list whose length is checked; longer lists are joined by shuffle."""
     return F.broadcast(df) if df.count() <= SEND_IDS else df
@@ -162,13 +216,15 @@ def candidates(classes: DataFrame, name: str = "alike") -> DataFrame:
     keyed = classes.select(F.explode("blocks").alias("block"), F.col("d1").alias("d"))
     met = keyed.repartition("block").sortWithinPartitions("block")
     met = staged(met.mapInArrow(_pair_small_blocks, "a bigint, b bigint, block bigint"), f"{name}-blocks")
-    crowded = sendable(met.where("block IS NOT NULL").select("block").distinct())
-    at = classes.select(F.posexplode("blocks").alias("place", "block"), F.col("d1").alias("d"), "blocks").join(crowded, "block", "left_semi")
-    sub = F.transform(F.sequence(F.lit(1), F.lit(SUB_BLOCKS)), lambda s: F.xxhash64("block", F.element_at("blocks", ((F.col("place") + s) % F.size("blocks") + 1).cast("int"))))
-    finer = at.select("d", F.explode(sub).alias("key"))
-    again = finer.select("key", F.col("d").alias("a")).join(finer.select("key", F.col("d").alias("b")), "key").where("a < b")
+    tiles = F.ceil(F.sum("a") / F.lit(TILE)).cast("int")
+    crowded = sendable(met.where("block IS NOT NULL").groupBy("block").agg(tiles.alias("tiles")))
+    at = classes.select(F.explode("blocks").alias("block"), F.col("d1").alias("d"), "short").join(crowded, "block")
+    at = at.withColumn("tile", F.pmod(F.xxhash64("d"), "tiles").cast("int"))
+    at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    at = at.select("block", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "d", "short")
+    again = at.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_pair_tiles, "a bigint, b bigint")
     # one exchange by a serves the distinct and the first join; ids follow only for the pairs that are left
-    pairs = met.where("block IS NULL AND a <> b").select("a", "b").union(again.select("a", "b")).repartition("a").distinct()
+    pairs = met.where("block IS NULL AND a <> b").select("a", "b").union(again).repartition("a").distinct()
     agreeing = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     shorts = [classes.select(F.col("d1").alias(x), F.col("short").alias(f"p{x}")) for x in "ab"]
     near = pairs.join(shorts[0], "a").join(shorts[1], "b").where(agreeing >= LEAST_AGREEING).select("a", "b")
