@@ -248,6 +248,45 @@ def test_decoder_reads_over_blanks_and_line_ends(reader):
     assert scans.repaired(text, accents, set()) == ["Of the église, près église and église. Мост через мост"]
 
 
+def test_decoder_reads_the_whole_stream(reader):
+    """Words cut by hyphens, known words and misread ones are decoded together, not looked up one by one."""
+    place = lambda text: {(line, kind, word) for line, kind, word, key in scans.scan_page(text, 99, reader) if not key}
+    assert place("was ofthehar-\nbour bridge") == {(1, "hyphen", "harbour")}
+    assert place("was the har bo-\nur bridge") == {(1, "hyphen", "harbour")}
+    assert scans.repaired("was ofthehar-\nbour bridge", reader, set()) == ["was of the harbour bridge"]
+    # two known words may be one that a blank or a line end has cut
+    cut = scans.Reader({"the": 9000, "of": 8000, "under": 40, "standing": 40, "understanding": 5000, "war": 900})
+    assert cut.decoded(["the under standing of war"], set())[0].words == [("understanding", 0, 1, 0)]
+    assert cut.decoded(["the under", "standing of"], set())[0].tokens == [(0, 1), (1, 0)]
+
+
+def test_pieces_are_what_the_whole_stream_is_read_as(reader):
+    """The stream falls apart only where that changes nothing: against one search over all of it."""
+    rng = random.Random(3)
+    words = {w: rng.choice((4, 9, 30, 200, 3000)) for w in "the of in to into day today some times sometimes war ward towards all so also be for before an other another soft oft so ft ten often art part apart he her here there under stand standing understanding".split()}
+    r = scans.Reader(words | {"a" * 12: 4000})
+    for _ in range(400):
+        tokens = [rng.choice(list(words)) for _ in range(rng.randint(2, 7))]
+        tokens = [t[:2] + " " + t[2:] if len(t) > 4 and rng.random() < 0.2 else t.replace("n", "ri", 1) if rng.random() < 0.1 else t for t in tokens]
+        if rng.random() < 0.3:
+            tokens = ["".join(tokens[:2]), *tokens[2:]]
+        line = " ".join(tokens)
+        split, read = line.split(), []
+        whole, at = [], 0
+        for t in split:
+            word, _, misread, _, _, core, price = r._token(t)
+            whole += [(at, at + len(core), word, 1, price)] * misread
+            at += len(t) + 1
+        want = [w for _, _, w, _ in r.alignment(line, tuple(whole))]
+        changes = {d.tokens[0][1]: d for d in r.decoded([line], set())}
+        k = 0
+        while k < len(split):
+            d = changes.get(k)
+            read += [w for w, *_ in d.words] if d else [split[k]]
+            k += len(d.tokens) if d else 1
+        assert read == want, line
+
+
 @pytest.mark.parametrize("line, page, yes", [("7", 7, True), ("- 7 -", 7, True), ("Page 7 of 9", 7, True), ("[12]", 12, True), ("1 2", 12, True), ("l2", 12, True), ("xii", 12, True), ("p. 3", 3, True), ("8", 7, False), ("The 7 mills", 7, False), ("", 7, False), ("Map 7", 7, False)])
 def test_page_numbers(line, page, yes):
     assert scans.is_page_number(line, page) is yes

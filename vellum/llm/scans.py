@@ -2,9 +2,11 @@
 
 A lexicon of the whole corpus (words with their counts) and a table of misread characters make a noisy channel: a
 stretch of characters is read as the words that are most probable as written, over all ways to join what a line
-end or a blank has cut, to cut what has run together, and to undo misreadings. Tokens that the lexicon knows, and
-that no far more frequent word explains, are taken as they are, and so are words that explain a token alone; the
-decoder reads the stretches around all others, across blanks and line ends.
+end, a hyphen or a blank has cut, to cut what has run together, and to undo misreadings. The decoder reads the
+stream of all lines of a page from one punctuation mark to the next. Its path is found piece by piece: where no word
+that reaches over a blank can be cheaper than the words beside it (Reader.reach), the stream falls apart there
+without changing the path, and a piece of one word that is cheaper than any two needs no search (Reader.settled).
+A table lookup of misreadings of whole tokens adds readings with two of them to the decoder's choice.
 
 Headings and footings are lines at a page's edge that recur on pages of its document, misreadings and page numbers
 aside. Where paragraphs begin is chosen by dynamic programming over the lines that are left.
@@ -35,6 +37,8 @@ LEXICON, LEAST = 250_000, 4
 #: for words with digits or signs among their letters.
 FAR_MORE, FAR_MORE_MIXED = 15, 6
 LONGEST = 24
+#: Stands for a hyphen at a line's end in a stream.
+HYPHEN = "\x02"
 #: Parts that the edge lines of one document are dealt into where they are compared with its headings.
 SALTS = 4
 
@@ -74,15 +78,19 @@ def variants(core: str, most: int = 2) -> Iterator[tuple[str, int]]:
 class Reader:
     """Reads tokens in the light of a lexicon."""
 
-    MISREADING, JOIN, CUT = 5.0, 4.0, 6.0
+    MISREADING, JOIN, CUT = 5.0, 7.0, 6.0
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
         self.total = sum(counts.values()) + 1
         self._known: dict[str, str | None] = {}
         self._readings: dict[str, str | None] = {}
-        self._beginnings: set[str] | None = None
-        self._tokens: dict[str, tuple[str, bool, int, bool, bool]] = {}
+        self._beginnings: dict[str, int] | None = None
+        self.least = math.log(self.total / max(counts.values(), default=1))  # what the most frequent word costs
+        self.most = math.log(self.total)
+        self._tokens: dict[str, tuple[str, bool, int, bool, bool, str, float]] = {}
+        self.apart: set[tuple[str, str]] = set()  # neighbours over which no word may reach
+        self.near: set[tuple[str, str]] = set()  # neighbours over which one may
         self.plain: set[str] = set()  # tokens that are explained as they stand
         self._decoded: dict[str, list] = {}
 
@@ -147,10 +155,11 @@ class Reader:
         run together, and characters may be misread."""
         return [word for _, _, word, _ in self.alignment(stream)]
 
-    def alignment(self, stream: str) -> list[tuple[int, int, str, int]]:
+    def alignment(self, stream: str, whole: tuple[tuple[int, int, str, int, float], ...] = ()) -> list[tuple[int, int, str, int]]:
         """(start, end, word, misreadings undone) of the most probable words of a stretch of lower-case characters.
-        Dynamic programming over the positions. A word of the lexicon may begin and end anywhere; what is no such
-        word stands as it is, from a blank to a blank."""
+        Dynamic programming over the positions. A word of the lexicon may begin and end anywhere but at a hyphen of a
+        line's end (HYPHEN); what is no such word stands as it is, from a blank to a blank. whole: further readings of
+        tokens (start, end, word, misreadings, cost)."""
         n = len(stream)
         best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)] + [(math.inf, 0, "", 0)] * n
         for i in range(n):
@@ -164,8 +173,11 @@ class Reader:
             if not i or stream[i - 1] == " ":
                 j = stream.find(" ", i)
                 j = n if j < 0 else j
-                if here + self.cost(stream[i:j]) < best[j][0]:
+                if HYPHEN not in stream[i:j] and here + self.cost(stream[i:j]) < best[j][0]:
                     best[j] = (here + self.cost(stream[i:j]), i, stream[i:j], 0)
+                for start, end, word, k, cost in whole:
+                    if start == i and here + cost < best[end][0]:
+                        best[end] = (here + cost, i, word, k)
             for j, word, k, extra in self._words_at(stream, i):
                 cost = here + self.cost(word) + extra + (self.CUT if j < n and stream[j] != " " else 0.0)
                 if cost < best[j][0]:
@@ -178,16 +190,26 @@ class Reader:
             at = before
         return out[::-1]
 
+    def _begins(self) -> dict[str, int]:
+        """The beginnings of words, each with the count of its most frequent word."""
+        if self._beginnings is None:
+            self._beginnings = {}
+            for w, c in self.counts.items():
+                for i in range(1, len(w) + 1):
+                    if c > self._beginnings.get(w[:i], 0):
+                        self._beginnings[w[:i]] = c
+        return self._beginnings
+
     def _words_at(self, stream: str, start: int) -> Iterator[tuple[int, str, int, float]]:
         """(end, word, misreadings, what they and dropped blanks cost) of the words of the lexicon that a stretch
         from start may be. Only beginnings of words are followed."""
-        if self._beginnings is None:
-            self._beginnings = {w[:i] for w in self.counts for i in range(1, len(w) + 1)}
-        known, begins, n = self.counts, self._beginnings, len(stream)
+        known, begins, n = self.counts, self._begins(), len(stream)
+        if stream[start] == HYPHEN:
+            return
         paths = [(start, "", 0, 0.0)]
         while paths:
             i, word, k, extra = paths.pop()
-            if word in known and (not k or i - start > 2):
+            if word in known and (not k or (i - start > 2 and known[word] >= 0.4 * FAR_MORE and word_like(word))) and stream[i - 1] != HYPHEN and (i == n or stream[i] != HYPHEN):
                 yield i, word, k, extra
             if i == n:
                 continue
@@ -196,6 +218,11 @@ class Reader:
                 if i + 1 < n:
                     paths.append((i + 1, word, k, extra + self.JOIN))
                 continue
+            if c == HYPHEN:
+                paths.append((i + 1, word, k, extra))
+                if word + "-" in begins:
+                    paths.append((i + 1, word + "-", k, extra))
+                continue
             if word + c in begins:
                 paths.append((i + 1, word + c, k, extra))
             if not k:
@@ -204,17 +231,67 @@ class Reader:
                         if word + true in begins:
                             paths.append((i + len(seen), word + true, 1, extra + self.MISREADING))
 
+    def reach(self, left: str, right: str) -> bool:
+        """Whether the best words of a stream may include one that reaches over the blank or line end between two raw
+        tokens. False only where every such word costs at least as much as both tokens read for themselves do: a path
+        over blanks is no cheaper then than one that stops at each of them."""
+        pair = (left, right)
+        if pair in self.apart:
+            return False
+        if pair in self.near:
+            return True
+        for known in (self.apart, self.near):
+            if len(known) > 1_000_000:
+                known.clear()
+        got = self._reach(left, right)
+        (self.near if got else self.apart).add(pair)
+        return got
+
+    def _reach(self, left: str, right: str) -> bool:
+        a, b = (self._tokens[t] if t in self._tokens else self._token(t) for t in (left, right))
+        if not a[0] or not b[0] or a[4] or b[3]:
+            return False
+        return self._may_join(a[5], b[5], a[6] + b[6])
+
+    def _may_join(self, x: str, y: str, price: float) -> bool:
+        if price <= self.JOIN + self.least:
+            return False
+        begins, stream = self._begins(), f"{x} {y}"
+        undone = any(c in _undo for c in x) or any(c in _undo for c in y) or any(p in x or p in y for p in _seen_2)
+        for p in range(len(x)):
+            base = self.JOIN + (self.CUT if p else 0.0)
+            if base + self.least >= price:
+                continue
+            # a word over several blanks pays for each
+            if (longer := begins.get(x[p:] + y)) and base + self.JOIN + math.log(self.total / longer) < price + self.most:
+                return True
+            if x[p:] + y[0] not in begins and not (undone and base + self.least + self.MISREADING < price):
+                continue
+            for j, word, _, extra in self._words_at(stream, p):
+                if j > len(x) and base - self.JOIN + self.cost(word) + extra + (self.CUT if j < len(stream) else 0.0) < price:
+                    return True
+        return False
+
     def decoded(self, lines: list[str], cut: set[int], stops: frozenset[int] = frozenset(), suspects: list[int] | None = None) -> list[Decoded]:
-        """What the decoder changes around the tokens that the lexicon doesn't explain, as they are or as a single
-        word misread; the neighbours of such a token are read again with it. It goes over blanks and line ends, not
-        over punctuation, empty lines, lines of stops and words cut by a hyphen. A change stands only where all its
-        words are in the lexicon. suspects: the odd lines, where they are known."""
+        """What the decoder reads otherwise than printed in the stream of all lines. It goes over blanks, line ends and
+        hyphens at line ends, not over punctuation, empty lines and lines of stops. Where neither a word reaches over
+        the blanks around a token nor a cheaper reading of it exists (reach, settled), it is not decoded: the outcome
+        is known. A change stands only where all its words are in the lexicon, but for words cut by a hyphen.
+        suspects: the odd lines, where they are known."""
         out: list[Decoded] = []
-        run: list[tuple[int, int, str, bool, int]] = []  # line, place, word, explained, misread
         split = [line.split() for line in lines]
-        seen = self._tokens
-        # only lines with an unexplained token and those beside them are looked at further
-        odd = [i for i in (self.odd_lines(split) if suspects is None else suspects) if not all((seen[t] if t in seen else self._token(t))[1] for t in split[i])]
+        odd = set(self.odd_lines(split) if suspects is None else suspects) | cut
+        flat = [t for tokens in split for t in tokens]
+        fresh = set(zip(flat, flat[1:])) - self.apart
+        close = {x for x in fresh if self.reach(*x)}
+        if close:
+            before = None
+            for i, tokens in enumerate(split):
+                for t in tokens:
+                    if before and (before[1], t) in close:
+                        odd |= {before[0], i}
+                    before = (i, t)
+        run: list[Piece] = []
         last = -2
         for i in sorted({j for i in odd for j in (i - 1, i, i + 1) if 0 <= j < len(lines)}):
             tokens = split[i]
@@ -222,18 +299,43 @@ class Reader:
                 self._decode_run(run, out)
             last = i
             for k, token in enumerate(tokens):
-                word, explained, misread, opens, closes = seen[token] if token in seen else self._token(token)
-                if not word or (i in cut and k == len(tokens) - 1) or (i - 1 in cut and k == 0):
+                if k == 0 and i - 1 in cut:
+                    if run and run[-1].half and not (i in cut and len(tokens) == 1):
+                        self._close_half(run, lines[i], token, i)
+                    if run and (run[-1].half or not run[-1].open):
+                        self._decode_run(run, out)
+                    continue
+                if i in cut and k == len(tokens) - 1 and (head := _left_part.search(lines[i])):
+                    left = head.group(1).lower()
+                    if left[0] in _wide_edge:
+                        self._decode_run(run, out)
+                    run.append(Piece([(i, k)], token, left.lstrip(_wide_edge), half=True))
+                    continue
+                word, explained, misread, opens, closes, core, price = self._tokens[token] if token in self._tokens else self._token(token)
+                if not word:
                     self._decode_run(run, out)
                     continue
                 if opens:
                     self._decode_run(run, out)
-                run.append((i, k, word, explained, misread))
+                run.append(Piece([(i, k)], token, core, explained, word if misread else None, price))
                 if closes:
                     self._decode_run(run, out)
         self._decode_run(run, out)
         return out
 
+    def _close_half(self, run: list[Piece], line: str, token: str, i: int) -> None:
+        """Puts the second part to a word cut by a hyphen, the last of a run."""
+        after = line.lstrip()
+        right = _right_part.match(after) or re.match(r"^\S+", after)
+        b = right.group().lower().rstrip(_wide_edge) if right else ""
+        piece = run[-1]
+        if not piece.core or not b or not any(c.isalpha() for c in b):
+            run.pop()
+            return
+        word = self.joined(piece.core, b)
+        price = self.cost(word)
+        run[-1] = Piece([*piece.tokens, (i, 0)], piece.raw, f"{piece.core}{HYPHEN}{b}", word in self.counts, word, price, open=len(right.group()) == len(token) and b == token.lower())
+
     def odd_lines(self, split: list[list[str]]) -> list[int]:
         """The lines with a token that isn't plain."""
         plain = self.plain
@@ -245,61 +347,125 @@ class Reader:
             if len(plain) > 400_000:
                 plain.clear()
             for t in fresh:
-                _, explained, misread, _, _ = self._token(t)
+                _, explained, misread, *_ = self._token(t)
                 if explained and not misread:
                     plain.add(t)
         return odd
 
-    def _token(self, token: str) -> tuple[str, bool, int, bool, bool]:
-        """Of a raw token: its word, whether the lexicon explains it, whether it is misread, and whether punctuation
-        stands before and behind it."""
+    def _token(self, token: str) -> tuple[str, bool, int, bool, bool, str, float]:
+        """Of a raw token: its word, whether the lexicon explains it, whether it is misread, whether punctuation
+        stands before and behind it, its characters, and what its word costs."""
         lower = token.lower()
         core = lower.strip(_wide_edge)
         word = self.correction(token) if core else None
         explained = bool(word) or core in self.counts or not mostly_letters(core)
-        got = (word or core, explained, int(bool(word)), bool(core) and lower[0] != core[0], bool(core) and lower[-1] != core[-1])
+        price = self.cost(core)
+        if word:
+            price = min(price, self.cost(word) + math.log(FAR_MORE if word_like(core) else FAR_MORE_MIXED))
+        elif core in self.counts and price > 2 * self.least + self.CUT:
+            explained = [w for _, _, w, _ in self.alignment(core)] == [core]
+        got = (word or core, explained, int(bool(word)), bool(core) and lower[0] != core[0], bool(core) and lower[-1] != core[-1], core, price)
         if len(self._tokens) > 400_000:
             self._tokens.clear()
         self._tokens[token] = got
         return got
 
-    def _decode_run(self, run: list[tuple[int, int, str, bool, int]], out: list[Decoded]) -> None:
-        """Decodes the windows around the unexplained tokens of a run, and empties it."""
-        at = [p for p, t in enumerate(run) if not t[3]]
-        while at:
-            first = last = at.pop(0)
-            while at and at[0] <= last + 2:
-                last = at.pop(0)
-            window = run[max(0, first - 1) : last + 2]
-            stream = " ".join(t[2] for t in window)
-            if stream not in self._decoded:
+    def settled(self, piece: Piece) -> bool:
+        """Whether nothing is cheaper than a piece's own word: two words and a cut cost more."""
+        return piece.explained and piece.price <= 2 * self.least + self.CUT
+
+    def _decode_run(self, run: list[Piece], out: list[Decoded]) -> None:
+        """Decodes a run, and empties it: in windows that no word reaches beyond, so that all of them together are
+        what the decoder makes of the whole run."""
+        if run and run[-1].half:
+            run.pop()
+        begin = 0
+        for end in range(1, len(run) + 1):
+            if end < len(run) and self._over(run, end):
+                continue
+            window = run[begin:end]
+            begin = end
+            if len(window) == 1 and (self.settled(window[0]) or (window[0].explained and not window[0].word)):
+                p = window[0]
+                if p.word:
+                    out.append(Decoded(p.tokens, [(p.word, 0, len(p.tokens) - 1, int(HYPHEN not in p.core))]))
+                continue
+            key = tuple((p.core, p.word, p.price) for p in window)
+            if key not in self._decoded:
                 if len(self._decoded) > 100_000:
                     self._decoded.clear()
-                self._decoded[stream] = self._changes(stream)
-            for a, b, words in self._decoded[stream]:
-                if not all(t[3] for t in window[a:b]):
-                    read = [(w, x - a, y - a, k + sum(t[4] for t in window[x : y + 1])) for w, x, y, k in words]
-                    out.append(Decoded([t[:2] for t in window[a:b]], read))
+                self._decoded[key] = self._changes(window)
+            for a, b, words in self._decoded[key]:
+                tokens = [t for p in window[a:b] for t in p.tokens]
+                first = [0]
+                for p in window[a:b]:
+                    first.append(first[-1] + len(p.tokens))
+                out.append(Decoded(tokens, [(w, first[x - a] if not late else first[x - a + 1] - 1, first[y - a + 1] - 1 if not early else first[y - a], k) for w, x, y, k, late, early in words]))
         run.clear()
 
-    def _changes(self, stream: str) -> list[tuple[int, int, list[tuple[str, int, int, int]]]]:
-        """(first token, token after the last, words with their first and last token and misreadings) of the
-        stretches of whole tokens that the decoder reads otherwise."""
-        token_at, number = [], 0
-        for c in stream:
-            number += c == " "
-            token_at.append(number)
+    def _over(self, run: list[Piece], at: int) -> bool:
+        """Whether a word may reach over the blank before a piece, of two or of several pieces."""
+        x, y = run[at - 1], run[at]
+        if HYPHEN in x.core or HYPHEN in y.core:
+            if self._may_join(x.core.replace(HYPHEN, ""), y.core.replace(HYPHEN, ""), x.price + y.price):
+                return True
+        elif self.reach(x.raw, y.raw):
+            return True
+        # a word that begins further back
+        begins = self._begins()
+        for back in range(at - 2, -1, -1):
+            middle = "".join(p.core for p in run[back + 1 : at]).replace(HYPHEN, "")
+            if len(middle) > LONGEST + 6 or not self.reach(run[back].raw, run[back + 1].raw):
+                return False
+            head = run[back].core.replace(HYPHEN, "")
+            if any(head[p:] + middle + y.core[0] in begins for p in range(len(head))):
+                return True
+        return False
+
+    def _changes(self, window: list[Piece]) -> list[tuple[int, int, list[tuple[str, int, int, int, bool, bool]]]]:
+        """(first piece, piece after the last, words with their first and last piece, misreadings, and whether they
+        begin behind the hyphen of the first or end before that of the last) of the stretches of whole pieces that the
+        decoder reads otherwise."""
+        stream = " ".join(p.core for p in window)
+        whole, at = [], 0
+        for p in window:
+            if p.word:
+                whole.append((at, at + len(p.core), p.word, int(HYPHEN not in p.core), p.price))
+            at += len(p.core) + 1
+        number = np.cumsum([c == " " for c in stream]).tolist()
         out, open_words, begin = [], [], 0
-        for s, e, word, k in self.alignment(stream):
-            open_words.append((word, token_at[s], token_at[e - 1], k))
+        for s, e, word, k in self.alignment(stream, tuple(whole)):
+            x, y = number[s], number[e - 1]
+            dash = stream.rfind(HYPHEN, 0, s), stream.find(HYPHEN, e)
+            late = dash[0] >= 0 and number[dash[0]] == x
+            early = dash[1] >= 0 and number[dash[1]] == y
+            open_words.append((word, x, y, k, late, early))
             if e == len(stream) or stream[e] == " ":
-                # one token read as one word is left to correction, which weighs how frequent both are
-                if (len(open_words) > 1 or token_at[begin] != token_at[e - 1]) and all(w in self.counts for w, *_ in open_words):
-                    out.append((token_at[begin], token_at[e - 1] + 1, open_words))
+                a = number[begin]
+                printed = stream[begin:e]
+                cut = HYPHEN in printed
+                if (cut or len(open_words) > 1 or a != y or word != printed) and (all(w in self.counts for w, *_ in open_words) or (cut and len(open_words) == 1)):
+                    out.append((a, y + 1, open_words))
                 open_words, begin = [], e + 1
         return out
 
 
+@dataclass(frozen=True)
+class Piece:
+    """A token of a run, or the two parts of a word cut by a hyphen: places (line, place in the line), the raw token, its
+    characters (parts with HYPHEN between them), whether the lexicon explains it, what it is read as if not as printed,
+    what that costs, whether its second part is missing, and whether the run goes on behind it."""
+
+    tokens: list[tuple[int, int]]
+    raw: str
+    core: str
+    explained: bool = False
+    word: str | None = None
+    price: float = 0.0
+    half: bool = False
+    open: bool = True
+
+
 @dataclass(frozen=True)
 class Decoded:
     """Tokens (line, place in the line) and the words they are read as, each with its first and last of these tokens
@@ -397,18 +563,6 @@ def cut_words(lines: list[str], reader: Reader) -> list[tuple[int, str]]:
     return out
 
 
-def misread_words(lines: list[str], reader: Reader, cut: set[int], decoded: set[tuple[int, int]] = frozenset(), suspects: list[int] | None = None) -> list[tuple[int, str]]:
-    """(line, right word) of the misread words; the parts of cut words and decoded places are left out."""
-    out, known = [], reader._known
-    for i in reader.odd_lines([line.split() for line in lines]) if suspects is None else suspects:
-        tokens = lines[i].split()
-        for k, token in enumerate(tokens):
-            word = known[token] if token in known else reader.correction(token)
-            if word and not (i in cut and k == len(tokens) - 1) and not (i - 1 in cut and k == 0) and (i, k) not in decoded:
-                out.append((i, word))
-    return out
-
-
 def scan_page(text: str, page: int, reader: Reader) -> list[tuple[int, str, str, str]]:
     """(line number, kind, word, key) of the damaged places of a page. Lines that may be headings come with the
     kind edge (weak, if they end like a sentence) and what they are compared by; lone numbers other than the
@@ -430,16 +584,17 @@ def scan_page(text: str, page: int, reader: Reader) -> list[tuple[int, str, str,
     cut = cut_words(lines, reader)
     starts = {i for i, _ in cut}
     suspects = reader.odd_lines([line.split() for line in lines])
-    decoded = reader.decoded(lines, starts, frozenset(numbers | {i + 1 for i in numbers}), suspects) if suspects else []
-    rows += [(i + 1, "hyphen", w, "") for i, w in cut]
+    decoded = reader.decoded(lines, starts, frozenset(numbers | {i + 1 for i in numbers}), suspects)
+    # a word cut twice, or by a page number, is in no stream
+    done = {i for d in decoded for i, _ in d.tokens if len({i for i, _ in d.tokens}) > 1}
+    rows += [(i + 1, "hyphen", w, "") for i, w in cut if i not in done]
     for d in decoded:
         for word, first, last, misread in d.words:
             i = d.tokens[first][0]
             if i != d.tokens[last][0]:  # cut at the line's end without a hyphen
                 rows.append((i + 1, "hyphen", word, ""))
-            elif misread:
+            elif misread and i not in numbers:
                 rows.append((i + 1, "char", word, ""))
-    rows += [(i + 1, "char", w, "") for i, w in misread_words(lines, reader, starts, {t for d in decoded for t in d.tokens}, suspects) if i not in numbers]
     return rows
 
 
@@ -598,8 +753,15 @@ def repaired(text: str, reader: Reader, dropped: set[int]) -> list[str]:
     carry = ""
     decoded: dict[tuple[int, int], str] = {}
     for d in reader.decoded(lines, set(cut), frozenset(k for k, gap in enumerate(gaps) if gap)):
+        (i, k), raw = d.tokens[0], [lines[i].split()[k] for i, k in d.tokens]
+        if len(d.words) == 1 and len(raw) == 2 and i in cut and k == len(lines[i].split()) - 1:
+            cut[i] = d.words[0][0]
+            continue
+        for i, k in d.tokens:
+            if i in cut and k == len(lines[i].split()) - 1:
+                del cut[i]
         decoded |= dict.fromkeys(d.tokens, "")
-        decoded[d.tokens[0]] = _as_written([lines[i].split()[k] for i, k in d.tokens], [w for w, *_ in d.words])
+        decoded[d.tokens[0]] = _as_written(raw, [w for w, *_ in d.words]) if len(raw) > 1 or len(d.words) > 1 else _put_right(raw[0], d.words[0][0])
     for k, line in enumerate(lines):
         if breaks[k] and not carry or not out:
             out.append([])
@@ -614,16 +776,13 @@ def repaired(text: str, reader: Reader, dropped: set[int]) -> list[str]:
             lead = head.group(1)[: len(head.group(1)) - len(head.group(1).lstrip(_wide_edge))] if head else ""
             carry = lead + (cut[k].capitalize() if first.isupper() else cut[k])
             tokens = tokens[:-1]
-        out[-1] += [x for p, t in enumerate(tokens) if (x := decoded[k, p] if (k, p) in decoded else _put_right(t, reader))]
+        out[-1] += [x for p, t in enumerate(tokens) if (x := decoded[k, p] if (k, p) in decoded else t)]
     if carry:
         out[-1].append(carry)
     return [" ".join(p) for p in out if p]
 
 
-def _put_right(token: str, reader: Reader) -> str:
-    word = reader.correction(token)
-    if not word:
-        return token
+def _put_right(token: str, word: str) -> str:
     # what stands around the word are the edge characters that are no misread letters
     lead = token[: len(token) - len(token.lstrip(_edge))]
     trail = token[len(token.rstrip(_edge)) :]
@@ -640,7 +799,7 @@ def _as_written(tokens: list[str], words: list[str]) -> str:
     first, last = tokens[0], tokens[-1]
     lead = first[: len(first) - len(first.lstrip(_wide_edge))]
     trail = last[len(last.rstrip(_wide_edge)) :]
-    letters = "".join(t.strip(_wide_edge) for t in tokens)
+    letters = "".join(t.strip(_wide_edge + HYPHENS) for t in tokens)
     if letters.lower() == "".join(words) and len(letters.lower()) == len(letters):
         ends = np.cumsum([len(w) for w in words]).tolist()
         return lead + " ".join(letters[e - len(w) : e] for e, w in zip(ends, words)) + trail
