@@ -637,8 +637,8 @@ def _prose(texts: list[str], common: frozenset[str], model: boosting.Booster) ->
 
 
 def scanned(pages: DataFrame, words: DataFrame, counts: dict[str, int] | None = None, model: boosting.Booster | None = None) -> DataFrame:
-    """doc_id, page_number, line_no, kind, word, key of scan_page on prose pages. Pages with nothing to report
-    aren't looked at further; of the others, those that are no prose drop out."""
+    """doc_id, page_number, line_no, kind, word, key of scan_page on prose pages. What is no prose isn't
+    decoded: its tokens are hardly ever seen before."""
     common = quality.common_set(words)
     model = quality.fit(pages, common) if model is None else model
     sent = pages.sparkSession.sparkContext.broadcast(lexicon(pages) if counts is None else counts)
@@ -648,10 +648,8 @@ def scanned(pages: DataFrame, words: DataFrame, counts: dict[str, int] | None =
         reader = _reader(sent)
         for batch in batches:
             docs, numbers, texts = (batch.column(k).to_pylist() for k in range(3))
-            found = [scan_page(t, n, reader) for n, t in zip(numbers, texts)]
-            at = [i for i, f in enumerate(found) if f]
-            prose = _prose([texts[i] for i in at], common, model)
-            rows = [(docs[i], numbers[i], *r) for i, p in zip(at, prose) if p for r in found[i]]
+            prose = np.flatnonzero(_prose(texts, common, model)).tolist()
+            rows = [(docs[i], numbers[i], *r) for i in prose for r in scan_page(texts[i], numbers[i], reader)]
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
