@@ -72,6 +72,23 @@ def test_crowded_block_loses_no_pair(spark, monkeypatch, tile):
     assert got == want and 0 < len(want) < n * (n - 1) // 2
 
 
+def test_common_phrases_make_few_candidates(spark, monkeypatch):
+    """Texts that have nothing but a phrase in common fall out before their shingle sets are gathered."""
+    phrase = " ".join(f"common{k}" for k in range(40))
+    rows = [(f"p{k:03}", phrase + " " + t) for k, t in enumerate(texts(800, 7, 100))]
+    rows += [(f"q{k:03}", edited(rows[k][1], 0.03, k)) for k in range(10)]
+    df, seen, staged = spark.createDataFrame(rows, SCHEMA), [], similar.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        seen.extend(out.collect() if name == "alike-candidates" else [])
+        return out
+
+    monkeypatch.setattr(similar, "staged", watched)
+    got = {(r["id_a"], r["id_b"]) for r in similar.alike([similar.Side("t", df, shingles.word_shingles)]).collect()}
+    assert got == brute(rows) and len(seen) < 150, len(seen)
+
+
 def test_mass_of_copies_is_a_star(spark):
     t = texts(1)[0]
     n = int(similar.EXPAND**0.5) + 40

@@ -8,8 +8,8 @@ guarantee for pairs that differ in more, as half of the pairs at the threshold d
 probability of 0.3 % (names: 0.5 %), closer pairs far more rarely (at 0.6 below 0.02 %). Records that share a block
 are paired, all with all. A block that more than CROWD records share (common phrases) is dealt into tiles of about
 TILE records, and every two tiles of it meet in one task, where fingerprints are compared before a pair is written.
-Pairs whose fingerprints lie too far apart (Hamming distance over the places) drop out, and the rest are checked
-exactly on their shingle sets.
+Pairs whose fingerprints lie too far apart (Hamming distance over the places, in the end over twice as many) drop
+out, and the rest are checked exactly on their shingle sets.
 
 Records with the same shingle set are one class and take part once, so that a mass of copies meets nothing but
 itself once. Pairs are written out for the members of classes. Where these would be too many (EXPAND), copies of one
@@ -38,13 +38,18 @@ from vellum.session import staged
 
 #: Number of blocks and places in each.
 TEXT_BLOCKS, NAME_BLOCKS = (20, 2), (40, 3)
-#: Places that the final comparison of fingerprints looks at, 7 bits of each.
+#: Places that the comparison of fingerprints within tiles looks at, 7 bits of each.
 PLACES = 40
 #: Least agreeing places: at similarity one half, 20 are expected with a deviation of 3.2.
 LEAST_AGREEING = 9
+#: The final comparison looks at twice as many places, 4 bits of each. At similarity one half, 42.5 are expected to agree
+#: with a deviation of 4.5: fewer than the least have a probability of 0.0003 %. Texts with a phrase in common
+#: (similarity 0.1 to 0.2) rarely agree in so many, and it is these that grow faster than the table.
+WIDE_PLACES, LEAST_WIDE = 80, 23
 MIN_SHINGLES = 40
-#: A block of more records than this is paired tile by tile, of about so many records each; none is cut short.
-CROWD, TILE = 12, 1024
+#: A block of more records than this is paired tile by tile, of about so many records each; none is cut short. A record
+#: of a block is written once for each of its tiles: they are as large as a task can compare in a few seconds.
+CROWD, TILE = 12, 16_384
 #: So many pairs of members of two classes are written out at most.
 EXPAND = 4096
 #: Lists of ids or blocks are sent to all tasks up to so many entries; longer ones are joined by shuffle.
@@ -77,8 +82,8 @@ def _map(rows: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.Recor
 
 
 def fingerprinted(side: Side) -> DataFrame:
-    """kind, id, t (hash of the text), d1, d2 (digest of kind and shingle set), blocks and short (7 bits of each of PLACES places) of a
-    side's rows (id, text) with enough shingles."""
+    """kind, id, t (hash of the text), d1, d2 (digest of kind and shingle set), blocks, short (7 bits of each of PLACES places) and wide (4
+    bits of each of WIDE_PLACES places, 16 in a number) of a side's rows (id, text) with enough shingles."""
     salt = int.from_bytes(hashlib.blake2b(side.kind.encode(), digest_size=4).digest(), "little")
     shingler, least, (count, width) = side.shingler, side.least, side.blocks
 
@@ -87,15 +92,17 @@ def fingerprinted(side: Side) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).reshape(-1)))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, sizes, digest, places = fingerprints(shingler(batch.column(1).to_pylist()), max(PLACES, count * width))
+        at, sizes, digest, places = fingerprints(shingler(batch.column(1).to_pylist()), max(WIDE_PLACES, count * width))
         keep = sizes >= least
         at, digest, places = at[keep], digest[keep] ^ salt, places[keep]
         short = (places[:, :PLACES] & np.uint64(127)).astype(np.int8)
+        nibbles = (places[:, :WIDE_PLACES] & np.uint64(15)).reshape(len(places), WIDE_PLACES // 16, 16)
+        wide = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
         columns = [*(batch.column(k).take(pa.array(at)) for k in (0, 2)), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1))]
-        return pa.RecordBatch.from_arrays([*columns, lists(blocks(places[:, : count * width], width, salt)), lists(short)], ["id", "t", "d1", "d2", "blocks", "short"])
+        return pa.RecordBatch.from_arrays([*columns, lists(blocks(places[:, : count * width], width, salt)), lists(short), lists(wide)], ["id", "t", "d1", "d2", "blocks", "short", "wide"])
 
     usable = side.rows.select("id", "text", F.xxhash64("text").alias("t")).where("id IS NOT NULL AND text IS NOT NULL")
-    return _map(usable, "id string, t bigint, d1 bigint, d2 bigint, blocks array<bigint>, short array<tinyint>", make).withColumn("kind", F.lit(side.kind))
+    return _map(usable, "id string, t bigint, d1 bigint, d2 bigint, blocks array<bigint>, short array<tinyint>, wide array<bigint>", make).withColumn("kind", F.lit(side.kind))
 
 
 def shingle_sets(rows: DataFrame, shingler: Shingler, kind: str) -> DataFrame:
@@ -209,10 +216,27 @@ def sendable(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SEND_IDS else df
 
 
-def candidates(classes: DataFrame, name: str = "alike") -> DataFrame:
+def _agreeing(x: Column, y: Column) -> Column:
+    """Whether fingerprints of PLACES places agree in enough of them."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, p: s + p) >= LEAST_AGREEING
+
+
+def _agreeing_widely(x: Column, y: Column) -> Column:
+    """Whether fingerprints of WIDE_PLACES places, 16 in a number, agree in enough of them."""
+
+    def differing(p: Column, q: Column) -> Column:
+        d = p.bitwiseXOR(q)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))  # the lowest of four bits is set where any of them differs
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda s, p: s + p) <= WIDE_PLACES - LEAST_WIDE
+
+
+def candidates(classes: DataFrame, name: str = "alike", final: str = "short", agreeing: Callable[[Column, Column], Column] = _agreeing) -> DataFrame:
     """Pairs of records of one kind (kind, a, b) that share blocks and are close enough, from one record of each
-    class (kind, id, d1, blocks, short). Records go by d1 here; should two classes have the same d1, both are
-    looked at."""
+    class (kind, id, d1, blocks, short and the column final, which agreeing compares). Records go by d1 here; should
+    two classes have the same d1, both are looked at."""
     keyed = classes.select(F.explode("blocks").alias("block"), F.col("d1").alias("d"))
     met = keyed.repartition("block").sortWithinPartitions("block")
     met = staged(met.mapInArrow(_pair_small_blocks, "a bigint, b bigint, block bigint"), f"{name}-blocks")
@@ -225,9 +249,8 @@ def candidates(classes: DataFrame, name: str = "alike") -> DataFrame:
     again = at.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_pair_tiles, "a bigint, b bigint")
     # one exchange by a serves the distinct and the first join; ids follow only for the pairs that are left
     pairs = met.where("block IS NULL AND a <> b").select("a", "b").union(again).repartition("a").distinct()
-    agreeing = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    shorts = [classes.select(F.col("d1").alias(x), F.col("short").alias(f"p{x}")) for x in "ab"]
-    near = pairs.join(shorts[0], "a").join(shorts[1], "b").where(agreeing >= LEAST_AGREEING).select("a", "b")
+    prints = [classes.select(F.col("d1").alias(x), F.col(final).alias(f"p{x}")) for x in "ab"]
+    near = pairs.join(prints[0], "a").join(prints[1], "b").where(agreeing(F.col("pa"), F.col("pb"))).select("a", "b")
     ids = [classes.select(F.col("d1").alias(x), F.col("kind").alias(f"k{x}"), F.col("id").alias(f"i{x}")) for x in "ab"]
     return near.join(ids[0], "a").join(ids[1], "b").where("ka = kb").select(F.col("ka").alias("kind"), F.col("ia").alias("a"), F.col("ib").alias("b"))
 
@@ -244,7 +267,7 @@ def alike(sides: list[Side], name: str = "alike") -> DataFrame:
     members = staged(marked.select("kind", "d1", "d2", "id", "t").join(sendable(staged(sized, f"{name}-classes")), ["d1", "d2"]).distinct(), f"{name}-members")
     others = sendable(members.where("id <> rep").select("kind", "id"))
     classes = marked.join(others, ["kind", "id"], "left_anti")
-    near = staged(candidates(classes, name=name), f"{name}-candidates")
+    near = staged(candidates(classes, name, "wide", _agreeing_widely), f"{name}-candidates")
     wanted = sendable(near.select("kind", F.col("a").alias("id")).union(near.select("kind", "b")).distinct())
     texts = [(s, s.rows.select(F.lit(s.kind).alias("kind"), "id", "text").where("text IS NOT NULL").join(wanted, ["kind", "id"], "left_semi")) for s in sides]
     sets = _all([shingle_sets(t.drop("kind"), s.shingler, s.kind) for s, t in texts]).dropDuplicates(["kind", "id"])
