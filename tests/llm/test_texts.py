@@ -1,5 +1,6 @@
 """Text operators: encoding, packing, splitting, page quality, scan noise, offence."""
 
+import math
 import random
 
 import numpy as np
@@ -287,6 +288,28 @@ def test_pieces_are_what_the_whole_stream_is_read_as(reader):
         assert read == want, line
 
 
+def test_words_over_a_blank_are_those_of_the_whole_search(reader):
+    """Bounds only spare the search for words over a blank; a word that ends at the blank is none."""
+    assert not reader.reach("the", "xyzzyzyx") and reader.reach("har", "bour")
+    rng = random.Random(5)
+    words = {w: rng.choice((4, 9, 30, 200, 3000)) for w in "the of in to into day today some times sometimes war ward towards all so also for other another soft oft so ft ten often art part apart he her here there under stand standing understanding modern corner".split()}
+    r = scans.Reader(words)
+    near = 0
+    for _ in range(3000):
+        x, y = (w[rng.randint(0, len(w) - 1) :] if rng.random() < 0.3 else w[: rng.randint(1, len(w))] for w in rng.choices(list(words), k=2))
+        x, y = (w.replace("n", "ri", 1).replace("rn", "m", 1).replace("e", "c", 1) if rng.random() < 0.3 else w for w in (x, y))
+        price, want = rng.uniform(5, 45), False
+        for p in range(len(x)):
+            base = r.CUT if p else 0.0
+            found = [b + r.JOIN + base for b in [math.log(r.total / c) for w, c in r._begins().items() if w == x[p:]] if b + r.JOIN + base < price]
+            longer = r._begins().get(x[p:] + y)
+            want |= bool(found and longer and base + 2 * r.JOIN + math.log(r.total / longer) < price + r.most)
+            want |= any(j > len(x) + 1 and base + r.cost(w) + extra + (r.CUT if j < len(x) + 1 + len(y) else 0) < price for j, w, _, extra in r._words_at(f"{x} {y}", p))
+        assert r._may_join(x, y, price) is want, (x, y, price)
+        near += want
+    assert 100 < near < 2900
+
+
 @pytest.mark.parametrize("line, page, yes", [("7", 7, True), ("- 7 -", 7, True), ("Page 7 of 9", 7, True), ("[12]", 12, True), ("1 2", 12, True), ("l2", 12, True), ("xii", 12, True), ("p. 3", 3, True), ("8", 7, False), ("The 7 mills", 7, False), ("", 7, False), ("Map 7", 7, False)])
 def test_page_numbers(line, page, yes):
     assert scans.is_page_number(line, page) is yes

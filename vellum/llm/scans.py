@@ -17,11 +17,12 @@ those that occur LEAST times, counted over all pages.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,7 @@ class Reader:
         self.near: set[tuple[str, str]] = set()  # neighbours over which one may
         self.plain: set[str] = set()  # tokens that are explained as they stand
         self._decoded: dict[str, list] = {}
+        self._tails_of: dict[tuple[str, bool, int], list[tuple[float, str]]] = {}
 
     def cost(self, word: str) -> float:
         """Improbability of a word; unknown ones pay for each character."""
@@ -161,6 +163,12 @@ class Reader:
         line's end (HYPHEN); what is no such word stands as it is, from a blank to a blank. whole: further readings of
         tokens (start, end, word, misreadings, cost)."""
         n = len(stream)
+        # what the tokens cost one by one: a path that costs more is not followed
+        limit, at = 0.0, 0
+        for token in stream.split(" "):
+            if token:
+                limit += min([cost for start, end, _, _, cost in whole if start == at and end == at + len(token)] + [math.inf if HYPHEN in token else self.cost(token)])
+            at += len(token) + 1
         best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)] + [(math.inf, 0, "", 0)] * n
         for i in range(n):
             here = best[i][0]
@@ -178,7 +186,7 @@ class Reader:
                 for start, end, word, k, cost in whole:
                     if start == i and here + cost < best[end][0]:
                         best[end] = (here + cost, i, word, k)
-            for j, word, k, extra in self._words_at(stream, i):
+            for j, word, k, extra in self._words_at(stream, i, limit - here):
                 cost = here + self.cost(word) + extra + (self.CUT if j < n and stream[j] != " " else 0.0)
                 if cost < best[j][0]:
                     best[j] = (cost, i, word, k)
@@ -200,36 +208,38 @@ class Reader:
                         self._beginnings[w[:i]] = c
         return self._beginnings
 
-    def _words_at(self, stream: str, start: int) -> Iterator[tuple[int, str, int, float]]:
+    def _words_at(self, stream: str, start: int, most: float = math.inf) -> Iterator[tuple[int, str, int, float]]:
         """(end, word, misreadings, what they and dropped blanks cost) of the words of the lexicon that a stretch
-        from start may be. Only beginnings of words are followed."""
+        from start may be. Only beginnings of words are followed, and none of which every word costs more than most."""
         known, begins, n = self.counts, self._begins(), len(stream)
         if stream[start] == HYPHEN:
             return
-        paths = [(start, "", 0, 0.0)]
+        dear = self.total / math.exp(min(most + 1e-6, 700.0))  # words must not be rarer
+        joined, undone = math.exp(self.JOIN), math.exp(self.MISREADING)
+        paths = [(start, "", 0, 0.0, dear)]
         while paths:
-            i, word, k, extra = paths.pop()
+            i, word, k, extra, rare = paths.pop()
             if word in known and (not k or (i - start > 2 and known[word] >= 0.4 * FAR_MORE and word_like(word))) and stream[i - 1] != HYPHEN and (i == n or stream[i] != HYPHEN):
                 yield i, word, k, extra
             if i == n:
                 continue
             c = stream[i]
             if c == " ":
-                if i + 1 < n:
-                    paths.append((i + 1, word, k, extra + self.JOIN))
+                if i + 1 < n and (len(word) < 2 or begins[word] >= rare * joined):
+                    paths.append((i + 1, word, k, extra + self.JOIN, rare * joined))
                 continue
             if c == HYPHEN:
-                paths.append((i + 1, word, k, extra))
+                paths.append((i + 1, word, k, extra, rare))
                 if word + "-" in begins:
-                    paths.append((i + 1, word + "-", k, extra))
+                    paths.append((i + 1, word + "-", k, extra, rare))
                 continue
-            if word + c in begins:
-                paths.append((i + 1, word + c, k, extra))
+            if (found := begins.get(word + c)) and (found >= rare or not word):
+                paths.append((i + 1, word + c, k, extra, rare))
             if not k:
                 for seen in (c, stream[i : i + 2]):
                     for true in _undo.get(seen, ()) if len(seen) == 1 or seen in _seen_2 else ():
-                        if word + true in begins:
-                            paths.append((i + len(seen), word + true, 1, extra + self.MISREADING))
+                        if (found := begins.get(word + true)) and (found >= rare * undone or not word):
+                            paths.append((i + len(seen), word + true, 1, extra + self.MISREADING, rare * undone))
 
     def reach(self, left: str, right: str) -> bool:
         """Whether the best words of a stream may include one that reaches over the blank or line end between two raw
@@ -247,8 +257,29 @@ class Reader:
         (self.near if got else self.apart).add(pair)
         return got
 
+    def _close(self, fresh: set[tuple[str, str]]) -> set[tuple[str, str]]:
+        """The pairs of raw tokens for which reach holds."""
+        begins, known, near, apart, out = self._begins(), self._tokens, self.near, [], set()
+        whole = self.JOIN + self.least + self.MISREADING  # up to this price, nothing but all of the left token, as it stands, may go on
+        for pair in fresh:
+            if pair in near:
+                out.add(pair)
+                continue
+            left, right = pair
+            a = known.get(left) or self._token(left)
+            b = known.get(right) or self._token(right)
+            if a[4] or b[3] or not a[0] or not b[0] or (a[6] + b[6] <= whole and a[5] + b[5][0] not in begins):
+                apart.append(pair)
+            elif self.reach(left, right):
+                out.add(pair)
+        if len(self.apart) > 1_000_000:
+            self.apart.clear()
+        self.apart.update(apart)
+        return out
+
     def _reach(self, left: str, right: str) -> bool:
-        a, b = (self._tokens[t] if t in self._tokens else self._token(t) for t in (left, right))
+        a = self._tokens.get(left) or self._token(left)
+        b = self._tokens.get(right) or self._token(right)
         if not a[0] or not b[0] or a[4] or b[3]:
             return False
         return self._may_join(a[5], b[5], a[6] + b[6])
@@ -256,20 +287,77 @@ class Reader:
     def _may_join(self, x: str, y: str, price: float) -> bool:
         if price <= self.JOIN + self.least:
             return False
-        begins, stream = self._begins(), f"{x} {y}"
-        undone = any(c in _undo for c in x) or any(c in _undo for c in y) or any(p in x or p in y for p in _seen_2)
-        for p in range(len(x)):
-            base = self.JOIN + (self.CUT if p else 0.0)
+        get, most, first, near = self._begins().get, price + self.most, y[0], 1 + 1e-9
+        # whole or from within x, misread or not: the kinds of tails that may be cheap enough
+        for cut in (False, True):
+            base = self.JOIN + self.CUT * cut
             if base + self.least >= price:
+                break
+            # beginnings of rarer words, without and with a misreading, cost too much
+            rare = self.total / math.exp(min(price - base, 700.0))
+            rarer = rare * math.exp(self.MISREADING)
+            undone = base + self.MISREADING + self.least < price
+            # then a word from within x must end where y does: a second cut costs more than a misreading
+            ends = cut and not undone
+            for misread in (0, 1) if undone else (0,):
+                for bound, part in self._tails(x, cut, misread):
+                    if base + bound >= price:
+                        break
+                    # a word over several blanks pays for each
+                    if not misread and (longer := get(part + y)):
+                        if base + self.JOIN + math.log(self.total / longer) < most or (ends and part + y in self.counts and base + self.cost(part + y) < price):
+                            return True
+                    if not ends and ((undone and not misread) or get(part + first, 0) * near > (rarer if misread else rare)) and self._goes_on(part, y, misread, price - base, rare, rarer):
+                        return True
+        return False
+
+    def _tails(self, x: str, cut: bool, misread: int) -> list[tuple[float, str]]:
+        """(what a word costs at least, how it begins) of the ways in which words of the lexicon may begin with all of x, or
+        with a part of it, as it stands or with one misreading undone, and go on behind a blank; the cheapest first."""
+        key = (x, cut, misread)
+        if key in self._tails_of:
+            return self._tails_of[key]
+        get, out = self._begins().get, []
+        for end in [x[p:] for p in range(1, len(x))] if cut else [x]:
+            if not misread:
+                if c := get(end):
+                    out.append((math.log(self.total / c), end))
                 continue
-            # a word over several blanks pays for each
-            if (longer := begins.get(x[p:] + y)) and base + self.JOIN + math.log(self.total / longer) < price + self.most:
-                return True
-            if x[p:] + y[0] not in begins and not (undone and base + self.least + self.MISREADING < price):
-                continue
-            for j, word, _, extra in self._words_at(stream, p):
-                if j > len(x) and base - self.JOIN + self.cost(word) + extra + (self.CUT if j < len(stream) else 0.0) < price:
+            for i, letter in enumerate(end):
+                if i and end[:i] not in self._beginnings:
+                    break
+                for true in _undo.get(letter, ()):
+                    if c := get(part := end[:i] + true + end[i + 1 :]):
+                        out.append((self.MISREADING + math.log(self.total / c), part))
+                if (seen := end[i : i + 2]) in _seen_2:
+                    for true in _undo[seen]:
+                        if c := get(part := end[:i] + true + end[i + 2 :]):
+                            out.append((self.MISREADING + math.log(self.total / c), part))
+        out.sort()
+        if len(self._tails_of) > 1_000_000:
+            self._tails_of.clear()
+        self._tails_of[key] = out
+        return out
+
+    def _goes_on(self, part: str, y: str, misread: int, limit: float, rare: float, rarer: float) -> bool:
+        """Whether a word that begins with part goes on with the characters of y, or their right readings, for less than
+        the limit. Beginnings are not followed where no word is more frequent than rare, or rarer if one misreading is undone."""
+        begins, known, n = self._begins(), self.counts, len(y)
+        paths = [(0, part, misread)]
+        while paths:
+            i, word, k = paths.pop()
+            if i and word in known and (not k or (i + len(part) > 1 and known[word] >= 0.4 * FAR_MORE and word_like(word))):
+                if self.cost(word) + self.MISREADING * k + (self.CUT if i < n else 0.0) < limit:
                     return True
+            if i == n:
+                continue
+            if begins.get(word + y[i], 0) * (1 + 1e-9) > (rarer if k else rare):
+                paths.append((i + 1, word + y[i], k))
+            if not k:
+                for seen in (y[i], y[i : i + 2]):
+                    for true in _undo.get(seen, ()) if len(seen) == 1 or seen in _seen_2 else ():
+                        if begins.get(word + true, 0) * (1 + 1e-9) > rarer:
+                            paths.append((i + len(seen), word + true, 1))
         return False
 
     def decoded(self, lines: list[str], cut: set[int], stops: frozenset[int] = frozenset(), suspects: list[int] | None = None) -> list[Decoded]:
@@ -283,22 +371,37 @@ class Reader:
         odd = set(self.odd_lines(split) if suspects is None else suspects) | cut
         flat = [t for tokens in split for t in tokens]
         fresh = set(zip(flat, flat[1:])) - self.apart
-        close = {x for x in fresh if self.reach(*x)}
+        close = self._close(fresh)
+        starts = [0]
+        for tokens in split:
+            starts.append(starts[-1] + len(tokens))
+        # the tokens that may be part of a change: all others are windows of their own, and are read as printed. A word
+        # that begins further back ends in the token behind two close ones at most
+        live, plain = bytearray(len(flat) + 5), self.plain
+        for i in odd:
+            for f, t in enumerate(split[i], starts[i]):
+                if t not in plain:
+                    live[f] = 1
+        for i in cut:
+            h = starts[i + 1] - 1
+            live[max(0, h - 1) : h + 4] = bytes([1]) * (h + 4 - max(0, h - 1))
         if close:
-            before = None
-            for i, tokens in enumerate(split):
-                for t in tokens:
-                    if before and (before[1], t) in close:
-                        odd |= {before[0], i}
-                    before = (i, t)
+            for f, pair in enumerate(zip(flat, flat[1:])):
+                if pair in close:
+                    live[f : f + 3] = b"\1\1\1"
+                    odd |= {bisect.bisect_right(starts, f) - 1, bisect.bisect_right(starts, f + 1) - 1}
         run: list[Piece] = []
-        last = -2
+        last = before = -2
         for i in sorted({j for i in odd for j in (i - 1, i, i + 1) if 0 <= j < len(lines)}):
             tokens = split[i]
             if not tokens or i in stops or i != last + 1:
                 self._decode_run(run, out)
-            last = i
-            for k, token in enumerate(tokens):
+            last, start = i, starts[i]
+            for k in [k for k in range(len(tokens)) if live[start + k]]:
+                token = tokens[k]
+                if start + k != before + 1:
+                    self._decode_run(run, out)
+                before = start + k
                 if k == 0 and i - 1 in cut:
                     if run and run[-1].half and not (i in cut and len(tokens) == 1):
                         self._close_half(run, lines[i], token, i)
@@ -377,7 +480,9 @@ class Reader:
     def _decode_run(self, run: list[Piece], out: list[Decoded]) -> None:
         """Decodes a run, and empties it: in windows that no word reaches beyond, so that all of them together are
         what the decoder makes of the whole run."""
-        if run and run[-1].half:
+        if not run:
+            return
+        if run[-1].half:
             run.pop()
         begin = 0
         for end in range(1, len(run) + 1):
@@ -450,8 +555,7 @@ class Reader:
         return out
 
 
-@dataclass(frozen=True)
-class Piece:
+class Piece(NamedTuple):
     """A token of a run, or the two parts of a word cut by a hyphen: places (line, place in the line), the raw token, its
     characters (parts with HYPHEN between them), whether the lexicon explains it, what it is read as if not as printed,
     what that costs, whether its second part is missing, and whether the run goes on behind it."""
@@ -466,8 +570,7 @@ class Piece:
     open: bool = True
 
 
-@dataclass(frozen=True)
-class Decoded:
+class Decoded(NamedTuple):
     """Tokens (line, place in the line) and the words they are read as, each with its first and last of these tokens
     and its misreadings."""
 
