@@ -301,9 +301,8 @@ def test_words_over_a_blank_are_those_of_the_whole_search(reader):
         price, want = rng.uniform(5, 45), False
         for p in range(len(x)):
             base = r.CUT if p else 0.0
-            found = [b + r.JOIN + base for b in [math.log(r.total / c) for w, c in r._begins().items() if w == x[p:]] if b + r.JOIN + base < price]
             longer = r._begins().get(x[p:] + y)
-            want |= bool(found and longer and base + 2 * r.JOIN + math.log(r.total / longer) < price + r.most)
+            want |= bool(base + r.JOIN + r.least < price and longer and base + 2 * r.JOIN + math.log(r.total / longer) < price + r.most)
             want |= any(j > len(x) + 1 and base + r.cost(w) + extra + (r.CUT if j < len(x) + 1 + len(y) else 0) < price for j, w, _, extra in r._words_at(f"{x} {y}", p))
         assert r._may_join(x, y, price) is want, (x, y, price)
         near += want

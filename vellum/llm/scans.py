@@ -301,13 +301,14 @@ class Reader:
             ends = cut and not undone
             for misread in (0, 1) if undone else (0,):
                 for bound, part in self._tails(x, cut, misread):
-                    if base + bound >= price:
+                    dear = base + bound >= price
+                    if dear and misread:
                         break
-                    # a word over several blanks pays for each
+                    # a word over several blanks pays for each, and stands for more than these two tokens
                     if not misread and (longer := get(part + y)):
                         if base + self.JOIN + math.log(self.total / longer) < most or (ends and part + y in self.counts and base + self.cost(part + y) < price):
                             return True
-                    if not ends and ((undone and not misread) or get(part + first, 0) * near > (rarer if misread else rare)) and self._goes_on(part, y, misread, price - base, rare, rarer):
+                    if not ends and not dear and ((undone and not misread) or get(part + first, 0) * near > (rarer if misread else rare)) and self._goes_on(part, y, misread, price - base, rare, rarer):
                         return True
         return False
 
