@@ -309,6 +309,28 @@ def test_words_over_a_blank_are_those_of_the_whole_search(reader):
     assert 100 < near < 2900
 
 
+def test_few_pairs_are_searched_for_words_over_a_blank(monkeypatch):
+    """Bounds looked up for all neighbours at once rule most out, and none over which a word may reach."""
+    rng = random.Random(11)
+    base = "the of in to into day today some times sometimes war ward towards also other soft often apart her here there under stand standing understanding modern corner harbour bridge église 1st ten2 x1938 quarter".split()
+    words = {w: rng.choice((4, 9, 30, 200, 3000)) for w in base} | {"".join(rng.choices("etaoinshrdlu", k=rng.randint(4, 9))): rng.choice((4, 20, 90)) for _ in range(600)}
+    r, exact = scans.Reader(words), scans.Reader(words)
+    tokens = []
+    for w in rng.choices(list(words), k=6000):
+        w = w[rng.randint(0, len(w) - 1) :] if rng.random() < 0.1 else w[: rng.randint(1, len(w))] if rng.random() < 0.1 else w
+        w = w.replace("n", "ri", 1).replace("rn", "m", 1).replace("e", "c", 1) if rng.random() < 0.1 else rng.choice(("1838", "7", "19,", "(l2", "l|")) if rng.random() < 0.05 else w
+        tokens.append(w + "." * (rng.random() < 0.1))
+    lines = [" ".join(tokens[k : k + 8]) for k in range(0, len(tokens), 8)]
+    asked, may_join = [], scans.Reader._may_join
+    monkeypatch.setattr(scans.Reader, "_may_join", lambda self, x, y, price: asked.append((x, y)) or may_join(self, x, y, price))
+    r.decoded(lines, set())
+    assert len(asked) < len(set(zip(tokens, tokens[1:]))) / 3
+    pages = [[line.split() for line in lines[:300]], [], [[]], [line.split() for line in lines[300:]]]
+    for split, (_, close) in zip(pages, r.marked(pages)):
+        flat = [t for line in split for t in line]
+        assert close == [f for f in range(len(flat) - 1) if exact.reach(flat[f], flat[f + 1])]
+
+
 @pytest.mark.parametrize("line, page, yes", [("7", 7, True), ("- 7 -", 7, True), ("Page 7 of 9", 7, True), ("[12]", 12, True), ("1 2", 12, True), ("l2", 12, True), ("xii", 12, True), ("p. 3", 3, True), ("8", 7, False), ("The 7 mills", 7, False), ("", 7, False), ("Map 7", 7, False)])
 def test_page_numbers(line, page, yes):
     assert scans.is_page_number(line, page) is yes

@@ -58,40 +58,93 @@ _stop = re.compile(r"[.!?;。！？](?=[\"'”’)\]»]*(?:\s|\Z))|[。！？]")
 _han, _kana = re.compile(r"[\u4e00-\u9fff]"), re.compile(r"[\u3040-\u30ff\uac00-\ud7af。、，]")
 _edges = ".,;:!?()[]{}'\"“”‘’„«»…—–-"
 _closing = frozenset(".!?;:。！？…\"'”’)]»")
-#: Pages whose characters are counted at once.
-PORTION = 256
+_letters = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Pages whose characters are counted at once, and tokens that are kept.
+PORTION, MOST_TOKENS = 256, 400_000
 _sentence = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？])|\n")
 
 
-BLANK, DIGIT, UPPER, VOWEL, ODD, SYMBOL, HAN, KANA, LETTER = (1 << k for k in range(9))
+BLANK, DIGIT, UPPER, VOWEL, ODD, SYMBOL, HAN, KANA, LETTER, COMMA, GAP, WIDE = range(12)
+#: Counts of so many classes are kept in one number, in fields of so many bits.
+FIELDS, BITS = 3, 20
 
 
 def _character_classes() -> np.ndarray:
-    """Flags of every character below U+20000; what lies above counts as the last one."""
-    out = np.zeros(0x20000, dtype=np.uint16)
-    tests = ((BLANK, str.isspace), (DIGIT, str.isdigit), (UPPER, str.isupper), (LETTER, str.isalpha))
+    """For every character below U+20000, a row for FIELDS classes each, the fields of its classes set; what lies above
+    counts as the last one."""
+    flags = np.zeros(0x20000, dtype=np.uint16)
+    tests = ((BLANK, str.isspace), (DIGIT, str.isdigit), (UPPER, str.isupper), (LETTER, str.isalpha), (COMMA, ",".__eq__), (GAP, lambda c: c.isspace() and c not in " \n"), (WIDE, lambda c: c > "\x7f"))
     patterns = ((VOWEL, _vowel), (ODD, _odd), (SYMBOL, _symbol), (HAN, _han), (KANA, _kana))
     for code in range(0x10000):
         c = chr(code)
-        out[code] = sum(flag for flag, test in tests if test(c)) | sum(flag for flag, pattern in patterns if pattern.match(c))
-    out[0x1F000:0x1FB00] = ODD | SYMBOL
-    return out
+        flags[code] = sum(1 << k for k, test in tests if test(c)) | sum(1 << k for k, pattern in patterns if pattern.match(c))
+    flags[0x10000:] = 1 << WIDE
+    flags[0x1F000:0x1FB00] = 1 << ODD | 1 << SYMBOL | 1 << WIDE
+    set_in = [(flags >> np.uint16(k) & np.uint16(1)).astype(np.int64) << BITS * (k % FIELDS) for k in range(WIDE + 1)]
+    return np.stack([sum(set_in[k : k + FIELDS]) for k in range(0, WIDE + 1, FIELDS)])
 
 
 _classes: list[np.ndarray] = []
 
 
-def _line_counts(texts: list[str]) -> np.ndarray:
-    """Of each line of the texts, one after the other: characters of each class, then all that aren't blank."""
+def _line_counts(joined: str) -> np.ndarray:
+    """Of each line: characters of each class, then all that aren't blank."""
     if not _classes:
         _classes.append(_character_classes())
-    joined = "\n".join(texts) + "\n"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    flags = _classes[0][np.minimum(code, 0x1FFFF)]
+    code = np.frombuffer((joined + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.flatnonzero(code == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    columns = [np.add.reduceat((flags >> np.uint16(k)) & np.uint16(1), starts, dtype=np.int64) for k in range(9)]
-    return np.stack([*columns, ends + 1 - starts - columns[0]], axis=1)
+    code = np.minimum(code, 0x1FFFF)
+    columns = []
+    for table in _classes[0]:
+        if len(code) < 1 << BITS:
+            packed = np.add.reduceat(table[code], starts)
+            columns += [packed >> BITS * k & (1 << BITS) - 1 for k in range(FIELDS)]
+        else:  # a field might run over
+            fields = table[code]
+            columns += [np.add.reduceat(fields >> BITS * k & 1, starts) for k in range(FIELDS)]
+    return np.stack([*columns, ends + 1 - starts - columns[BLANK]], axis=1)
+
+
+class _Tokens(dict):
+    """Numbers of tokens in the order in which they are first seen, and what is known of each: its length, its word's number (0
+    for none), whether the word is common, whether a letter is in it, and whether it ends like a sentence."""
+
+    def __init__(self, common: frozenset[str]) -> None:
+        self.common, self.words, self.rows, self.seen = common, {"": 0}, [], np.zeros((0, 5), np.int64)
+
+    def __missing__(self, token: str) -> int:
+        word = token.lower().strip(_edges)
+        self.rows.append((len(token), self.words.setdefault(word, len(self.words)), bool(word) and word in self.common, any(map(str.isalpha, token)), token[-1] in _closing))
+        self[token] = n = len(self)
+        return n
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > MOST_TOKENS:
+            self.clear()
+            self.__init__(self.common)
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.rows:
+            self.seen = np.concatenate([self.seen, np.array(self.rows, np.int64)])
+            self.rows = []
+        return out
+
+
+_tokens: list[_Tokens] = []
+
+
+def _between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values from starts up to ends."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[ends] - sums[starts]
+
+
+def _distinct(group: np.ndarray, number: np.ndarray, groups: int) -> np.ndarray:
+    """How many different numbers each group has."""
+    keys = np.sort(group << 32 | number)
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return np.bincount(keys[first] >> 32, minlength=groups)
 
 
 def _kind(line: str, tokens: list[str], small: int, n: int, digits: int, vowels: int, odd: int, symbols: int, han: int, kana: int, letters: int) -> str:
@@ -108,7 +161,8 @@ def _kind(line: str, tokens: list[str], small: int, n: int, digits: int, vowels:
     if len(tokens) >= 4 and len(set(tokens)) <= 0.4 * len(tokens):
         return "junk"
     if digits:
-        if _pair.match(line) or _fields.match(line) or (not small and _record.match(line)) or (digits > 0.3 * n and not _end.search(line)):
+        cells = "," in line or ";" in line or "\t" in line
+        if (":" in line and _pair.match(line)) or (cells and (_fields.match(line) or (not small and _record.match(line)))) or (digits > 0.3 * n and not _end.search(line)):
             return "table"
     if ("\t" in line or "   " in line or "|" in line) and len(_gap.findall(line)) >= 2:
         return "table"
@@ -157,65 +211,116 @@ def _loose(lines: list[str], common: frozenset[str]) -> bool:
     return len(lines) >= 3 and short > 0.7 * len(lines) and small < 0.2 * len(words) and not ends
 
 
-def _page(lines: list[str], counts: np.ndarray, common: frozenset[str]) -> tuple[float, ...]:
-    """STATS of a page from its lines and their counts."""
-    whole = counts.sum(axis=0).tolist()
-    total, letters = whole[9], max(1, whole[8])
-    if not total:
-        return (0.0,) * len(STATS)
-    lines = [x.strip() for x in lines]
-    kinds, sizes, words, smalls, longest = [], counts[:, 9].tolist(), [], 0, 0
-    common_chars = ended_chars = long_chars = 0
-    known = common.__contains__
-    for line, (_, digits, _, vowels, odd, symbols, han, kana, own, n) in zip(lines, counts.tolist()):
-        if not line:
-            kinds.append("")
+def _said(plain: str, odd_blanks: bool) -> list[str]:
+    """The sentences of a text."""
+    if odd_blanks:
+        parts = _sentence.split(plain)
+    else:
+        marked = plain.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").replace("; ", ";\n")
+        if not plain.isascii():
+            marked = marked.replace("。", "。\n").replace("！", "！\n").replace("？", "？\n")
+        parts = marked.split("\n")
+    return [x for s in parts if len(x := s.strip()) >= 12]
+
+
+def _portion(texts: list[str], common: frozenset[str]) -> np.ndarray:
+    """STATS of texts. Lines are counted all at once; those on which no pattern can match are not looked at one by one."""
+    if not _tokens or _tokens[0].common is not common:
+        _tokens[:] = [_Tokens(common)]
+    joined = "\n".join(texts)
+    lines = joined.split("\n")
+    split = [x.split() for x in lines]
+    counts = _line_counts(joined)
+    per_line = np.fromiter(map(len, split), np.int64, len(lines))
+    to = np.cumsum(per_line)
+    since = to - per_line
+    ids = _tokens[0].numbers([t for tokens in split for t in tokens])
+    length, word, known, lettered, closing = _tokens[0].seen[ids].T if len(ids) else np.zeros((5, 0), np.int64)
+    page_lines = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+    until = np.cumsum(page_lines)
+    start = until - page_lines
+    page_of = np.repeat(np.arange(len(texts)), page_lines)
+    line_of = np.repeat(np.arange(len(lines)), per_line)
+    size, filled = counts[:, -1], per_line > 0
+    some = np.flatnonzero(filled)
+    small = _between(known, since, to)
+    longest, ended = np.zeros((2, len(lines)), np.int64)
+    if len(some):
+        longest[some] = np.maximum.reduceat(length, since[some])
+        ended[some] = closing[to[some] - 1]
+    # the lines that _kind may have a name for
+    digits, letters, han = counts[:, DIGIT], counts[:, LETTER], counts[:, HAN]
+    asked = (digits > 0) | (counts[:, ODD] > 0.15 * size) | (counts[:, SYMBOL] > 0.18 * size) | (han > 0.5 * size) | ((longest > 32) & (longest > 0.5 * size))
+    asked |= (per_line >= 4) & (_distinct(line_of, ids, len(lines)) <= 0.4 * per_line)
+    asked |= (per_line >= 4) & (small < 0.15 * per_line) & (letters > 20) & (counts[:, WIDE] == 0)
+    asked &= filled
+    for p, text in enumerate(texts):
+        if "|" in text or "\t" in text or "   " in text or "…" in text or "..." in text or ". ." in text:
+            asked[start[p] : until[p]] |= filled[start[p] : until[p]]
+    for i in np.flatnonzero(filled & ~asked).tolist():
+        if split[i][0][:1] not in _letters or split[i][0][1:2] in ".)":
+            asked[i] = True
+    kinds = [""] * len(lines)
+    for i in np.flatnonzero(asked).tolist():
+        _, d, _, v, o, s, h, k, own, *_, n = counts[i].tolist()
+        kinds[i] = _kind(lines[i].strip(), split[i], int(small[i]), n, d, v, o, s, h, k, own)
+    # runs of plain lines, and those of them that may be loose
+    plain = filled & ~np.fromiter(map(bool, kinds), bool, len(lines))
+    first, last = plain.copy(), plain.copy()
+    inner = plain[1:] & plain[:-1] & (page_of[1:] == page_of[:-1])
+    first[1:] &= ~inner
+    last[:-1] &= ~inner
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    commas, words = _between(counts[:, COMMA], s, e), _between(_between(lettered, since, to), s, e)
+    short = _between((per_line <= 5).astype(np.int64), s, e)
+    loose = (_between(letters, s, e) == 0) | ((commas >= 4) & (commas > 0.15 * words)) | ((e - s >= 3) & (short > 0.7 * (e - s)))
+    for x, y in zip(s[loose].tolist(), e[loose].tolist()):
+        if _loose([line.strip() for line in lines[x:y]], common):
+            kinds[x:y] = ["loose"] * (y - x)
+    # pages
+    total = np.add.reduceat(counts, start, axis=0)
+    n_filled, n_words = np.add.reduceat(filled.astype(np.int64), start), _between(word > 0, *(_between(per_line, np.zeros_like(x), x) for x in (start, until)))
+    spoken = word > 0
+    distinct = _distinct(np.repeat(page_of, per_line)[spoken], word[spoken], len(texts))
+    smalls, n_ended = np.add.reduceat(small, start), np.add.reduceat(ended, start)
+    speaking, ending, long = (np.add.reduceat(np.where(filled & x, size, 0), start) for x in (small >= 0.15 * per_line, ended > 0, per_line > 6))
+    longest = np.maximum.reduceat(longest, start)
+    out = np.zeros((len(texts), len(STATS)))
+    columns = (total, n_filled, n_words, n_ended, smalls, distinct, longest, speaking, ending, long, start, until)
+    for p, (text, whole, full, n_all, closed, common_words, unlike, top, speaks, ends, wide, a, b) in enumerate(zip(texts, *(c.tolist() for c in columns))):
+        chars, own, n = whole[-1], max(1, whole[LETTER]), max(1, n_all)
+        if not chars:
             continue
-        tokens = line.split()
-        lower = [w for t in line.lower().split() if (w := t.strip(_edges))]
-        small = sum(map(known, lower))
-        words += lower
-        smalls += small
-        common_chars += n if small >= 0.15 * len(tokens) else 0
-        ended_chars += n if line[-1] in _closing else 0
-        long_chars += n if len(tokens) > 6 else 0
-        longest = max(longest, max(map(len, tokens)))
-        kinds.append(_kind(line, tokens, small, n, digits, vowels, odd, symbols, han, kana, own))
-    for s, e in _runs(kinds, lines):
-        if _loose(lines[s:e], common):
-            kinds[s:e] = ["loose"] * (e - s)
-    if any(kinds):
-        for s, e in list(_runs(kinds, lines)):
-            beside = (s and kinds[s - 1]) or (e < len(lines) and kinds[e])
-            if beside and _hangs_on(lines[s:e], common):
-                kinds[s:e] = [beside] * (e - s)
-    by = Counter()
-    for kind, size in zip(kinds, sizes):
-        by[kind] += size
-    # sentences that come again and again are junk, unless their lines are counted already
-    plain = "\n".join(x for x, k in zip(lines, kinds) if not k)
-    said = Counter(x for s in _sentence.split(plain) if len(x := s.strip()) >= 12)
-    again = sum(len("".join(s.split())) * n for s, n in said.items() if n >= 4)
-    filled = [x for x in lines if x]
-    n = max(1, len(words))
-    structural = min(1.0, (total - by[""] + again) / total)
-    return (
-        float(total), float(len(words)), letters / n, float(len(filled)), total / len(filled), whole[5] / total, whole[1] / total, whole[2] / letters,
-        sum(x[-1] in _closing for x in filled) / len(filled), len(said) / n, smalls / n, len(set(words)) / n, plain.count(",") / n, whole[3] / letters, whole[4] / total,
-        float(longest), again / total, by["list"] / total, by["table"] / total, by["junk"] / total, by["loose"] / total, common_chars / total, ended_chars / total, long_chars / total, structural,
-    )
+        by, said_in = Counter(), text
+        if any(kinds[a:b]):
+            mine, stripped = kinds[a:b], [x.strip() for x in lines[a:b]]
+            for x, y in list(_runs(mine, stripped)):
+                beside = (x and mine[x - 1]) or (y < len(mine) and mine[y])
+                if beside and _hangs_on(stripped[x:y], common):
+                    mine[x:y] = [beside] * (y - x)
+            for kind, x in zip(mine, size[a:b].tolist()):
+                by[kind] += x
+            said_in = "\n".join(x for x, k in zip(stripped, mine) if not k)
+        else:
+            by[""] = chars
+        # sentences that come again and again are junk, unless their lines are counted already
+        said = _said(said_in, whole[GAP] > 0)
+        different = len(set(said))
+        again = sum(len("".join(x.split())) * n for x, n in Counter(said).items() if n >= 4) if different + 3 <= len(said) else 0
+        out[p] = (
+            chars, n_all, own / n, full, chars / full, whole[SYMBOL] / chars, whole[DIGIT] / chars, whole[UPPER] / own,
+            closed / full, different / n, common_words / n, unlike / n, said_in.count(",") / n, whole[VOWEL] / own, whole[ODD] / chars,
+            top, again / chars, by["list"] / chars, by["table"] / chars, by["junk"] / chars, by["loose"] / chars, speaks / chars, ends / chars, wide / chars,
+            min(1.0, (chars - by[""] + again) / chars),
+        )
+    return out
 
 
 def batch_stats(texts: list[str | None], common: frozenset[str]) -> np.ndarray:
     """STATS of texts, a row each; null and blank texts have zeros."""
     out = np.zeros((len(texts), len(STATS)))
     for s in range(0, len(texts), PORTION):
-        part = [t or "" for t in texts[s : s + PORTION]]
-        counts, at = _line_counts(part), 0
-        for i, text in enumerate(part, s):
-            lines = text.split("\n")
-            out[i] = _page(lines, counts[at : at + len(lines)], common)
-            at += len(lines)
+        out[s : s + PORTION] = _portion([t or "" for t in texts[s : s + PORTION]], common)
     return out
 
 

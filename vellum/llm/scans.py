@@ -55,6 +55,7 @@ _undo: dict[str, list[str]] = {}
 for _true, _seen in MISREAD:
     _undo.setdefault(_seen, []).append(_true)
 _seen_2 = {s for s in _undo if len(s) == 2}
+_suspect = {s[0] for s in _undo}
 _edge = ".,;:?\"'“”‘’„«»…—–[]{}"
 _wide_edge = _edge + "()!-*_"
 
@@ -92,7 +93,7 @@ class Reader:
         self._tokens: dict[str, tuple[str, bool, int, bool, bool, str, float]] = {}
         self.apart: set[tuple[str, str]] = set()  # neighbours over which no word may reach
         self.near: set[tuple[str, str]] = set()  # neighbours over which one may
-        self.plain: set[str] = set()  # tokens that are explained as they stand
+        self._seen: Seen | None = None
         self._decoded: dict[str, list] = {}
         self._tails_of: dict[tuple[str, bool, int], list[tuple[float, str]]] = {}
 
@@ -257,24 +258,26 @@ class Reader:
         (self.near if got else self.apart).add(pair)
         return got
 
-    def _close(self, fresh: set[tuple[str, str]]) -> set[tuple[str, str]]:
-        """The pairs of raw tokens for which reach holds."""
-        begins, known, near, apart, out = self._begins(), self._tokens, self.near, [], set()
-        whole = self.JOIN + self.least + self.MISREADING  # up to this price, nothing but all of the left token, as it stands, may go on
-        for pair in fresh:
-            if pair in near:
-                out.add(pair)
-                continue
-            left, right = pair
-            a = known.get(left) or self._token(left)
-            b = known.get(right) or self._token(right)
-            if a[4] or b[3] or not a[0] or not b[0] or (a[6] + b[6] <= whole and a[5] + b[5][0] not in begins):
-                apart.append(pair)
-            elif self.reach(left, right):
-                out.add(pair)
-        if len(self.apart) > 1_000_000:
-            self.apart.clear()
-        self.apart.update(apart)
+    def marked(self, pages: list[list[list[str]]]) -> list[tuple[list[int], list[int]]]:
+        """For each page, given as the tokens of its lines: the places, counted over the page, of tokens that aren't
+        explained as they stand, and of the first of two neighbours for which reach holds. Bounds are looked up for
+        all pages at once, and reach is asked only for pairs that they don't rule out."""
+        if self._seen is None:
+            self._seen = Seen(self)
+        flat = [t for split in pages for tokens in split for t in tokens]
+        to = np.cumsum([sum(map(len, split)) for split in pages])
+        ids = self._seen.numbers(flat)
+        odd = np.flatnonzero(~self._seen.plain[ids])
+        maybe = np.flatnonzero(self._seen.near(ids[:-1], ids[1:]))
+        maybe = maybe[~np.isin(maybe + 1, to)]  # no word reaches into another page
+        _, first, which = np.unique(ids[maybe] << 32 | ids[maybe + 1], return_index=True, return_inverse=True)
+        asked = np.array([self.reach(flat[f], flat[f + 1]) for f in maybe[first].tolist()], bool)
+        close = maybe[asked[which]] if len(maybe) else maybe
+        out = []
+        ends = [np.searchsorted(x, to).tolist() for x in (odd, close)]
+        for p, end in enumerate(to.tolist()):
+            start = int(to[p - 1]) if p else 0
+            out.append(tuple((x[at[p - 1] if p else 0 : at[p]] - start).tolist() for x, at in zip((odd, close), ends)))
         return out
 
     def _reach(self, left: str, right: str) -> bool:
@@ -282,6 +285,8 @@ class Reader:
         b = self._tokens.get(right) or self._token(right)
         if not a[0] or not b[0] or a[4] or b[3]:
             return False
+        if self._seen is not None and not self._seen.may(left, right, a[5], b[5], a[6] + b[6]):
+            return False
         return self._may_join(a[5], b[5], a[6] + b[6])
 
     def _may_join(self, x: str, y: str, price: float) -> bool:
@@ -316,29 +321,30 @@ class Reader:
         """(what a word costs at least, how it begins) of the ways in which words of the lexicon may begin with all of x, or
         with a part of it, as it stands or with one misreading undone, and go on behind a blank; the cheapest first."""
         key = (x, cut, misread)
-        if key in self._tails_of:
-            return self._tails_of[key]
-        get, out = self._begins().get, []
+        if key not in self._tails_of:
+            if len(self._tails_of) > 1_000_000:
+                self._tails_of.clear()
+            self._tails_of[key] = sorted((self.MISREADING * misread + math.log(self.total / self._begins()[part]), part) for part in self._parts(x, cut, misread))
+        return self._tails_of[key]
+
+    def _parts(self, x: str, cut: bool, misread: int) -> Iterator[str]:
+        """The beginnings of words that _tails tells the costs of."""
+        begins = self._begins()
         for end in [x[p:] for p in range(1, len(x))] if cut else [x]:
             if not misread:
-                if c := get(end):
-                    out.append((math.log(self.total / c), end))
+                if end in begins:
+                    yield end
                 continue
             for i, letter in enumerate(end):
-                if i and end[:i] not in self._beginnings:
+                if i and end[:i] not in begins:
                     break
                 for true in _undo.get(letter, ()):
-                    if c := get(part := end[:i] + true + end[i + 1 :]):
-                        out.append((self.MISREADING + math.log(self.total / c), part))
+                    if (part := end[:i] + true + end[i + 1 :]) in begins:
+                        yield part
                 if (seen := end[i : i + 2]) in _seen_2:
                     for true in _undo[seen]:
-                        if c := get(part := end[:i] + true + end[i + 2 :]):
-                            out.append((self.MISREADING + math.log(self.total / c), part))
-        out.sort()
-        if len(self._tails_of) > 1_000_000:
-            self._tails_of.clear()
-        self._tails_of[key] = out
-        return out
+                        if (part := end[:i] + true + end[i + 2 :]) in begins:
+                            yield part
 
     def _goes_on(self, part: str, y: str, misread: int, limit: float, rare: float, rarer: float) -> bool:
         """Whether a word that begins with part goes on with the characters of y, or their right readings, for less than
@@ -361,36 +367,31 @@ class Reader:
                             paths.append((i + len(seen), word + true, 1))
         return False
 
-    def decoded(self, lines: list[str], cut: set[int], stops: frozenset[int] = frozenset(), suspects: list[int] | None = None) -> list[Decoded]:
+    def decoded(self, lines: list[str], cut: set[int], stops: frozenset[int] = frozenset(), marks: tuple[list[int], list[int]] | None = None) -> list[Decoded]:
         """What the decoder reads otherwise than printed in the stream of all lines. It goes over blanks, line ends and
         hyphens at line ends, not over punctuation, empty lines and lines of stops. Where neither a word reaches over
         the blanks around a token nor a cheaper reading of it exists (reach, settled), it is not decoded: the outcome
         is known. A change stands only where all its words are in the lexicon, but for words cut by a hyphen.
-        suspects: the odd lines, where they are known."""
+        marks: what marked gives for the lines, where that is known."""
         out: list[Decoded] = []
+        if marks == ([], []) and not cut:
+            return out
         split = [line.split() for line in lines]
-        odd = set(self.odd_lines(split) if suspects is None else suspects) | cut
-        flat = [t for tokens in split for t in tokens]
-        fresh = set(zip(flat, flat[1:])) - self.apart
-        close = self._close(fresh)
+        strange, close = self.marked([split])[0] if marks is None else marks
         starts = [0]
         for tokens in split:
             starts.append(starts[-1] + len(tokens))
         # the tokens that may be part of a change: all others are windows of their own, and are read as printed. A word
         # that begins further back ends in the token behind two close ones at most
-        live, plain = bytearray(len(flat) + 5), self.plain
-        for i in odd:
-            for f, t in enumerate(split[i], starts[i]):
-                if t not in plain:
-                    live[f] = 1
+        live = bytearray(starts[-1] + 5)
+        odd = {bisect.bisect_right(starts, f) - 1 for f in (*strange, *close, *(f + 1 for f in close))} | cut
+        for f in strange:
+            live[f] = 1
         for i in cut:
             h = starts[i + 1] - 1
             live[max(0, h - 1) : h + 4] = bytes([1]) * (h + 4 - max(0, h - 1))
-        if close:
-            for f, pair in enumerate(zip(flat, flat[1:])):
-                if pair in close:
-                    live[f : f + 3] = b"\1\1\1"
-                    odd |= {bisect.bisect_right(starts, f) - 1, bisect.bisect_right(starts, f + 1) - 1}
+        for f in close:
+            live[f : f + 3] = b"\1\1\1"
         run: list[Piece] = []
         last = before = -2
         for i in sorted({j for i in odd for j in (i - 1, i, i + 1) if 0 <= j < len(lines)}):
@@ -440,22 +441,6 @@ class Reader:
         price = self.cost(word)
         run[-1] = Piece([*piece.tokens, (i, 0)], piece.raw, f"{piece.core}{HYPHEN}{b}", word in self.counts, word, price, open=len(right.group()) == len(token) and b == token.lower())
 
-    def odd_lines(self, split: list[list[str]]) -> list[int]:
-        """The lines with a token that isn't plain."""
-        plain = self.plain
-        for _ in range(2):
-            odd = [i for i, tokens in enumerate(split) if not plain.issuperset(tokens)]
-            fresh = {t for i in odd for t in split[i] if t not in plain and t not in self._tokens}
-            if not fresh:
-                break
-            if len(plain) > 400_000:
-                plain.clear()
-            for t in fresh:
-                _, explained, misread, *_ = self._token(t)
-                if explained and not misread:
-                    plain.add(t)
-        return odd
-
     def _token(self, token: str) -> tuple[str, bool, int, bool, bool, str, float]:
         """Of a raw token: its word, whether the lexicon explains it, whether it is misread, whether punctuation
         stands before and behind it, its characters, and what its word costs."""
@@ -556,6 +541,206 @@ class Reader:
         return out
 
 
+#: Classes of how a token may begin: letters, other characters that are misread, these digits before another one, pairs
+#: that are misread, all others by their code.
+CLASSES, _alphabet, _digits = 80, "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_signs = sorted({c for s in _undo for c in s} - set(_alphabet))
+_class_of = {c: k for k, c in enumerate([*_alphabet, *_signs, *sorted(_seen_2), *(c + "#" for c in _signs if c in _digits)])}
+#: Costs are kept in quarters, rounded down; the second number is more than any.
+_HIGHEST, _NEVER = 254, 255
+_FACTOR, _BITS_64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _class(begin: str) -> int:
+    two = begin[0] + "#" if begin[1:2] and begin[1] in _digits else begin[:2]
+    k = _class_of.get(two, -1)
+    return k if k >= 0 else _class_of.get(begin[0], len(_class_of) + ord(begin[0]) % (CLASSES - len(_class_of)))
+
+
+def _plus(quarters: np.ndarray, more: int | np.ndarray) -> np.ndarray:
+    """Costs with more added to them; what never happens stays so."""
+    return np.where(quarters == _NEVER, _NEVER, np.minimum(quarters.astype(np.int64) + more, _HIGHEST)).astype(np.uint8)
+
+
+class Seen(dict):
+    """Numbers of the raw tokens that a reader has met, and bounds for what a word costs that reaches from one to
+    the next: such a word goes on behind the first token with the beginning of the second, or with all of it."""
+
+    MOST = 400_000
+
+    def __init__(self, reader: Reader) -> None:
+        self.reader, begins = reader, reader._begins()
+        self.node = {part: k for k, part in enumerate(begins)}
+        n, misread, cut = len(begins), int(4 * reader.MISREADING), int(4 * reader.CUT)
+        # cheapest word from each beginning on, by the class of what follows as it stands
+        direct = np.full((n + 1, CLASSES), _NEVER, np.uint8)
+        double = {true: np.full(n + 1, _NEVER, np.uint8) for true, _ in MISREAD if len(true) == 2}
+        stops, parents = np.full((2, n + 1), _NEVER, np.uint8), {}  # ... that ends here, or goes on with a digit
+        hashes: dict[str, int] = {"": 0}
+        for k, (part, count) in enumerate(begins.items()):
+            last = part[-1]
+            hashes[part] = (hashes[part[:-1]] * _FACTOR + ord(last)) & _BITS_64
+            cost = min(_HIGHEST, int(4 * math.log(reader.total / count)))
+            if part in reader.counts:
+                stops[0, k] = min(_HIGHEST, int(4 * math.log(reader.total / reader.counts[part])) + cut)
+            if len(part) > 1:
+                before, c = self.node[part[:-1]], _class(last)
+                direct[before, c] = min(direct[before, c], cost)
+                parents.setdefault(last, ([], []))[0].append(before)
+                parents[last][1].append(k)
+                if last in _digits:
+                    stops[1, before] = min(stops[1, before], cost)
+                if len(part) > 2 and part[-2:] in double:
+                    double[part[-2:]][self.node[part[:-2]]] = cost
+        after = stops.min(axis=0)
+        for pair in _seen_2:
+            direct[:, _class(pair)] = direct[:, _class(pair[0])]
+        numeric = {c: _class(c + "0") for c in _signs if c in _digits}
+        for c, k in numeric.items():
+            if c in parents:
+                direct[parents[c][0], k] = after[parents[c][1]]
+        # then with one misreading, too
+        undone = direct.copy()
+        for c, k in numeric.items():
+            undone[:, k] = np.minimum(direct[:, k], _plus(direct[:, _class(c)], misread))
+        for true, seen in MISREAD:
+            cost = _plus(direct[:, _class(true)] if len(true) == 1 else double[true], misread)
+            for k in [_class(seen)] + [_class(pair) for pair in _seen_2 if pair[0] == seen]:
+                undone[:, k] = np.minimum(undone[:, k], cost)
+            if seen in numeric and true in parents:
+                before, k = parents[true][0], numeric[seen]
+                undone[before, k] = np.minimum(undone[before, k], _plus(after[parents[true][1]], misread))
+        self.costs = np.concatenate([undone, direct])
+        # all beginnings by three bits each of their hash
+        self.shift = np.uint64(64 - max(10, (64 * n).bit_length()))
+        self.table = np.zeros(1 << 64 - int(self.shift), bool)
+        for mix in self._MIX:
+            self.table[self._place(np.array(list(hashes.values()), np.uint64), mix)] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.used, self.rows_used, self.ends_used = 0, 0, 0
+        self.plain, self.left, self.right = (np.zeros(1024, bool) for _ in range(3))
+        self.price, self.hash, self.power = np.zeros(1024), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.row, self.kind, self.first_end, self.n_ends = (np.zeros(1024, np.int64) for _ in range(4))
+        self.bounds, self.ends = np.zeros((1024, CLASSES), np.uint8), np.zeros(4096, np.uint64)
+        self.row_of: dict[str, int] = {}
+        self._fresh: list[tuple] = []
+        self._cores: list[str] = []
+        self._ends: list[int] = []
+
+    _MIX = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+    def _place(self, h: np.ndarray, mix: int) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(mix)) >> self.shift
+
+    def __missing__(self, token: str) -> int:
+        word, explained, misread, opens, closes, core, price = self.reader._token(token)
+        left, right = bool(word) and not closes and bool(core), bool(word) and not opens and bool(core)
+        row = 0
+        if left and (row := self.row_of.get(core, -1)) < 0:
+            row = self.row_of[core] = len(self.row_of)
+            self._cores.append(core)
+        # of each end of the token that a word may begin with, and of all of it
+        h, power, ends = 0, 1, []
+        for c in reversed(core):
+            h, power = (h + ord(c) * power) & _BITS_64, power * _FACTOR & _BITS_64
+            ends.append(h)
+        ends = ends[: LONGEST + 6] if left else []
+        self._fresh.append((explained and not misread, left, right, price, h, power, row, _class(core) if right else 0, self.ends_used + len(self._ends), len(ends)))
+        self._ends += ends
+        self[token] = n = len(self)
+        return n
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > self.MOST:
+            self._forget()
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self._fresh:
+            names = ("plain", "left", "right", "price", "hash", "power", "row", "kind", "first_end", "n_ends")
+            for name, values in zip(names, zip(*self._fresh)):
+                self._add(name, self.used, values)
+            self._add("ends", self.ends_used, self._ends)
+            if self._cores:
+                self._add("bounds", self.rows_used, self._bounds(self._cores))
+            self.used, self.ends_used, self.rows_used = len(self), self.ends_used + len(self._ends), len(self.row_of)
+            self._fresh, self._ends, self._cores = [], [], []
+        return out
+
+    def _add(self, name: str, used: int, values) -> None:
+        column = getattr(self, name)
+        if used + len(values) > len(column):
+            column = np.concatenate([column, np.zeros((used + len(values), *column.shape[1:]), column.dtype)])
+            setattr(self, name, column)
+        column[used : used + len(values)] = np.array(values, column.dtype) if len(values) else column[:0]
+
+    def _bounds(self, cores: list[str]) -> np.ndarray:
+        """For each class of what follows: what a word costs at least that begins with the token or within it and goes on."""
+        r, get, begins, direct = self.reader, self.node.get, self.node, len(self.node) + 1
+        whole, within, misread = int(4 * r.JOIN), int(4 * (r.JOIN + r.CUT)), int(4 * r.MISREADING)
+        nodes, more, first = [], [], []  # rows of the table, what comes on top of them, and the first of each core
+        for core in cores:
+            first.append(len(nodes))
+            nodes.append(len(begins))
+            more.append(0)
+            least = max(0, len(core) - LONGEST - 7)  # no beginning is longer, nor with a pair for a letter
+            for p in range(least, len(core)):
+                if (k := get(core[p:])) is not None:
+                    nodes.append(k)
+                    more.append(within if p else whole)
+            for i, letter in enumerate(core):
+                if letter not in _suspect:
+                    continue
+                seen = core[i : i + 2]
+                readings = [(true, 1) for true in _undo.get(letter, ())] + [(true, 2) for true in (_undo[seen] if seen in _seen_2 else ())]
+                for p in range(least, i + 1) if readings else ():
+                    if p < i and core[p:i] not in begins:
+                        continue
+                    for true, n in readings:
+                        if (k := get(core[p:i] + true + core[i + n :])) is not None:
+                            nodes.append(direct + k)
+                            more.append((within if p else whole) + misread)
+        rows, more = self.costs[nodes], np.array(more, np.uint8)[:, None]
+        return np.minimum.reduceat(np.where(rows == _NEVER, rows, np.minimum(rows, _HIGHEST - more) + more), first, axis=0)
+
+    def may(self, left: str, right: str, x: str, y: str, price: float) -> bool:
+        """near for one pair; True for tokens that have no number."""
+        a, b = self.get(left), self.get(right)
+        if a is None or b is None or max(a, b) >= self.used:
+            return True
+        bound = self.bounds[self.row[a], self.kind[b]]
+        if bound != _NEVER and 4 * (price + 1e-6) > bound:
+            return True
+        begins = self.node
+        return any(x[p:] + y in begins for p in range(len(x)))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether reach may hold for tokens a followed by tokens b."""
+        r = self.reader
+        price = self.price[a] + self.price[b]
+        out = self.left[a] & self.right[b] & (price > r.JOIN + r.least - 1e-6)
+        some = np.flatnonzero(out)
+        a, b, price = a[some], b[some], price[some]
+        bound = self.bounds[self.row[a], self.kind[b]]
+        maybe = (4 * (price + 1e-6) > bound) & (bound != _NEVER)
+        # beginnings that hold all of the second token
+        cheap = price <= r.JOIN + r.CUT + r.least - 1e-6  # nothing but all of the first token may come before it
+        n = self.n_ends[a]
+        first = self.first_end[a]
+        first, n = np.where(cheap, first + n - 1, first), np.where(cheap, np.minimum(n, 1), n)
+        n = np.where(maybe, 0, n)
+        pair = np.repeat(np.arange(len(a)), n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[pair]
+        h = self.ends[place] * self.power[b[pair]] + self.hash[b[pair]]
+        for mix in self._MIX:
+            there = self.table[self._place(h, mix)]
+            h, pair = h[there], pair[there]
+        maybe[pair] = True
+        out[some] = maybe
+        return out
+
+
 class Piece(NamedTuple):
     """A token of a run, or the two parts of a word cut by a hyphen: places (line, place in the line), the raw token, its
     characters (parts with HYPHEN between them), whether the lexicon explains it, what it is read as if not as printed,
@@ -667,7 +852,7 @@ def cut_words(lines: list[str], reader: Reader) -> list[tuple[int, str]]:
     return out
 
 
-def scan_page(text: str, page: int, reader: Reader) -> list[tuple[int, str, str, str]]:
+def scan_page(text: str, page: int, reader: Reader, marks: tuple[list[int], list[int]] | None = None) -> list[tuple[int, str, str, str]]:
     """(line number, kind, word, key) of the damaged places of a page. Lines that may be headings come with the
     kind edge (weak, if they end like a sentence) and what they are compared by; lone numbers other than the
     page's with the kind numbered and by how much they differ."""
@@ -687,8 +872,7 @@ def scan_page(text: str, page: int, reader: Reader) -> list[tuple[int, str, str,
             rows.append((i + 1, "weak" if lines[i].rstrip()[-1] in ".?;:,!" + HYPHENS else "edge", "", key))
     cut = cut_words(lines, reader)
     starts = {i for i, _ in cut}
-    suspects = reader.odd_lines([line.split() for line in lines])
-    decoded = reader.decoded(lines, starts, frozenset(numbers | {i + 1 for i in numbers}), suspects)
+    decoded = reader.decoded(lines, starts, frozenset(numbers | {i + 1 for i in numbers}), marks)
     # a word cut twice, or by a page number, is in no stream
     done = {i for d in decoded for i, _ in d.tokens if len({i for i, _ in d.tokens}) > 1}
     rows += [(i + 1, "hyphen", w, "") for i, w in cut if i not in done]
@@ -702,6 +886,14 @@ def scan_page(text: str, page: int, reader: Reader) -> list[tuple[int, str, str,
     return rows
 
 
+def scan_pages(texts: list[str], pages: list[int], reader: Reader) -> Iterator[list[tuple[int, str, str, str]]]:
+    """scan_page of many pages."""
+    for s in range(0, len(texts), quality.PORTION):
+        part = texts[s : s + quality.PORTION]
+        marks = reader.marked([[line.split() for line in text.split("\n")] for text in part])
+        yield from (scan_page(text, page, reader, m) for text, page, m in zip(part, pages[s : s + quality.PORTION], marks))
+
+
 def lexicon(pages: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[str, int]:
     """Counts of the most frequent words over all pages. Each task counts what it reads; words are then summed."""
 
@@ -753,7 +945,8 @@ def scanned(pages: DataFrame, words: DataFrame, counts: dict[str, int] | None =
         for batch in batches:
             docs, numbers, texts = (batch.column(k).to_pylist() for k in range(3))
             prose = np.flatnonzero(_prose(texts, common, model)).tolist()
-            rows = [(docs[i], numbers[i], *r) for i in prose for r in scan_page(texts[i], numbers[i], reader)]
+            found = scan_pages([texts[i] for i in prose], [numbers[i] for i in prose], reader)
+            rows = [(docs[i], numbers[i], *r) for i, page in zip(prose, found) for r in page]
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
@@ -792,7 +985,7 @@ def found(pages: DataFrame, words: DataFrame, counts: dict[str, int] | None = No
     """doc_id, page_number, line_no, kind, word of the damaged places of prose pages. A place on a heading line is
     none of its own. Repeated rows count once; null texts and keys give nothing; an empty table gives no row."""
     rows = staged(scanned(pages, words, counts, model), "scanned")
-    heads = headings(rows.where("kind IN ('edge', 'weak')").select("doc_id", "page_number", "line_no", "kind", "key"))
+    heads = staged(headings(rows.where("kind IN ('edge', 'weak')").select("doc_id", "page_number", "line_no", "kind", "key")), "heads")
     # numbers that run beside the page numbers at a distance are the pages' printed numbers
     shifted = rows.where("kind = 'numbered'")
     runs = shifted.groupBy("doc_id", "key").agg(F.min("page_number").alias("a"), F.max("page_number").alias("b")).where("a < b")
@@ -842,11 +1035,15 @@ def paragraph_breaks(lines: list[str], gaps: list[bool]) -> list[bool]:
     return out
 
 
-def repaired(text: str, reader: Reader, dropped: set[int]) -> list[str]:
+def _kept(text: str, dropped: set[int]) -> list[int]:
+    return [i for i, x in enumerate(text.split("\n")) if x.strip() and i not in dropped]
+
+
+def repaired(text: str, reader: Reader, dropped: set[int], marks: tuple[list[int], list[int]] | None = None) -> list[str]:
     """The paragraphs of a page: without the dropped lines (numbered from 0), cut words joined, misread words and
     words run together put right. Capital letters at a word's start and punctuation around it stay."""
     raw = text.split("\n")
-    kept = [i for i, x in enumerate(raw) if x.strip() and i not in dropped]
+    kept = _kept(text, dropped)
     lines = [raw[i].strip() for i in kept]
     gaps = [k > 0 and any(not raw[j].strip() for j in range(kept[k - 1] + 1, i)) for k, i in enumerate(kept)]
     breaks = paragraph_breaks(lines, gaps)
@@ -854,7 +1051,7 @@ def repaired(text: str, reader: Reader, dropped: set[int]) -> list[str]:
     out: list[list[str]] = []
     carry = ""
     decoded: dict[tuple[int, int], str] = {}
-    for d in reader.decoded(lines, set(cut), frozenset(k for k, gap in enumerate(gaps) if gap)):
+    for d in reader.decoded(lines, set(cut), frozenset(k for k, gap in enumerate(gaps) if gap), marks):
         (i, k), raw = d.tokens[0], [lines[i].split()[k] for i, k in d.tokens]
         if len(d.words) == 1 and len(raw) == 2 and i in cut and k == len(lines[i].split()) - 1:
             cut[i] = d.words[0][0]
@@ -930,9 +1127,13 @@ def paragraphs(pages: DataFrame, words: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             docs, numbers, texts, drop = (batch.column(k).to_pylist() for k in range(4))
-            prose = _prose(texts, common, model)
-            for doc, page, text, gone in (r for r, p in zip(zip(docs, numbers, texts, drop), prose) if p):
-                out += [(doc, page, k, p) for k, p in enumerate(repaired(text, reader, {i - 1 for i in gone}))]
+            prose = np.flatnonzero(_prose(texts, common, model)).tolist()
+            for s in range(0, len(prose), quality.PORTION):
+                part = [(i, {n - 1 for n in drop[i]}) for i in prose[s : s + quality.PORTION]]
+                split = [texts[i].split("\n") for i, _ in part]
+                marks = reader.marked([[lines[k].split() for k in _kept(texts[i], gone)] for lines, (i, gone) in zip(split, part)])
+                for (i, gone), m in zip(part, marks):
+                    out += [(docs[i], numbers[i], k, p) for k, p in enumerate(repaired(texts[i], reader, gone, m))]
             if out:
                 columns = list(zip(*out))
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
