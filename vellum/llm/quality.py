@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ _edges = ".,;:!?()[]{}'\"“”‘’„«»…—–-"
 _closing = frozenset(".!?;:。！？…\"'”’)]»")
 _letters = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Pages whose characters are counted at once, and tokens that are kept.
-PORTION, MOST_TOKENS = 256, 400_000
+PORTION, MOST_TOKENS = 512, 400_000
 _sentence = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？])|\n")
 
 
@@ -73,11 +74,14 @@ def _character_classes() -> np.ndarray:
     """For every character below U+20000, a row for FIELDS classes each, the fields of its classes set; what lies above
     counts as the last one."""
     flags = np.zeros(0x20000, dtype=np.uint16)
-    tests = ((BLANK, str.isspace), (DIGIT, str.isdigit), (UPPER, str.isupper), (LETTER, str.isalpha), (COMMA, ",".__eq__), (GAP, lambda c: c.isspace() and c not in " \n"), (WIDE, lambda c: c > "\x7f"))
-    patterns = ((VOWEL, _vowel), (ODD, _odd), (SYMBOL, _symbol), (HAN, _han), (KANA, _kana))
-    for code in range(0x10000):
-        c = chr(code)
-        flags[code] = sum(1 << k for k, test in tests if test(c)) | sum(1 << k for k, pattern in patterns if pattern.match(c))
+    chars = list(map(chr, range(0x10000)))
+    for k, test in ((BLANK, str.isspace), (DIGIT, str.isdigit), (UPPER, str.isupper), (LETTER, str.isalpha)):
+        flags[:0x10000] |= np.fromiter(map(test, chars), bool, len(chars)).astype(np.uint16) << np.uint16(k)
+    for k, pattern in ((VOWEL, _vowel), (ODD, _odd), (SYMBOL, _symbol), (HAN, _han), (KANA, _kana)):
+        flags[[m.start() for m in pattern.finditer("".join(chars))]] |= 1 << k
+    flags[ord(",")] |= 1 << COMMA
+    flags[[ord(c) for c in chars if c.isspace() and c not in " \n"]] |= 1 << GAP
+    flags[0x80:] |= 1 << WIDE
     flags[0x10000:] = 1 << WIDE
     flags[0x1F000:0x1FB00] = 1 << ODD | 1 << SYMBOL | 1 << WIDE
     set_in = [(flags >> np.uint16(k) & np.uint16(1)).astype(np.int64) << BITS * (k % FIELDS) for k in range(WIDE + 1)]
@@ -108,14 +112,18 @@ def _line_counts(joined: str) -> np.ndarray:
 
 class _Tokens(dict):
     """Numbers of tokens in the order in which they are first seen, and what is known of each: its length, its word's number (0
-    for none), whether the word is common, whether a letter is in it, and whether it ends like a sentence."""
+    for none), whether the word is common, whether a letter is in it, and whether it ends like a sentence. age: how often the
+    numbers began anew."""
+
+    age = 0
 
     def __init__(self, common: frozenset[str]) -> None:
-        self.common, self.words, self.rows, self.seen = common, {"": 0}, [], np.zeros((0, 5), np.int64)
+        self.common, self.words, self.rows, self.seen, self.names = common, {"": 0}, [], np.zeros((0, 5), np.int64), []
 
     def __missing__(self, token: str) -> int:
         word = token.lower().strip(_edges)
         self.rows.append((len(token), self.words.setdefault(word, len(self.words)), bool(word) and word in self.common, any(map(str.isalpha, token)), token[-1] in _closing))
+        self.names.append(token)
         self[token] = n = len(self)
         return n
 
@@ -123,6 +131,7 @@ class _Tokens(dict):
         if len(self) > MOST_TOKENS:
             self.clear()
             self.__init__(self.common)
+            self.age += 1
         out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if self.rows:
             self.seen = np.concatenate([self.seen, np.array(self.rows, np.int64)])
@@ -223,8 +232,17 @@ def _said(plain: str, odd_blanks: bool) -> list[str]:
     return [x for s in parts if len(x := s.strip()) >= 12]
 
 
-def _portion(texts: list[str], common: frozenset[str]) -> np.ndarray:
-    """STATS of texts. Lines are counted all at once; those on which no pattern can match are not looked at one by one."""
+class Portion(NamedTuple):
+    """STATS of some texts, the tokens of each line of each text, and the numbers of all tokens in a table."""
+
+    stats: np.ndarray
+    split: list[list[list[str]]]
+    ids: np.ndarray
+    table: _Tokens
+
+
+def portion(texts: list[str], common: frozenset[str]) -> Portion:
+    """Lines are counted all at once; those on which no pattern can match are not looked at one by one."""
     if not _tokens or _tokens[0].common is not common:
         _tokens[:] = [_Tokens(common)]
     joined = "\n".join(texts)
@@ -255,8 +273,10 @@ def _portion(texts: list[str], common: frozenset[str]) -> np.ndarray:
     asked |= (per_line >= 4) & (small < 0.15 * per_line) & (letters > 20) & (counts[:, WIDE] == 0)
     asked &= filled
     for p, text in enumerate(texts):
-        if "|" in text or "\t" in text or "   " in text or "…" in text or "..." in text or ". ." in text:
-            asked[start[p] : until[p]] |= filled[start[p] : until[p]]
+        for mark in ("|", "\t", "   ", "…", "...", ". ."):
+            if mark in text:
+                a, b = int(start[p]), int(until[p])
+                asked[a:b] |= filled[a:b] & np.fromiter((mark in x for x in lines[a:b]), bool, b - a)
     for i in np.flatnonzero(filled & ~asked).tolist():
         if split[i][0][:1] not in _letters or split[i][0][1:2] in ".)":
             asked[i] = True
@@ -313,14 +333,14 @@ def _portion(texts: list[str], common: frozenset[str]) -> np.ndarray:
             top, again / chars, by["list"] / chars, by["table"] / chars, by["junk"] / chars, by["loose"] / chars, speaks / chars, ends / chars, wide / chars,
             min(1.0, (chars - by[""] + again) / chars),
         )
-    return out
+    return Portion(out, [split[a:b] for a, b in zip(start.tolist(), until.tolist())], ids, _tokens[0])
 
 
 def batch_stats(texts: list[str | None], common: frozenset[str]) -> np.ndarray:
     """STATS of texts, a row each; null and blank texts have zeros."""
     out = np.zeros((len(texts), len(STATS)))
     for s in range(0, len(texts), PORTION):
-        out[s : s + PORTION] = _portion([t or "" for t in texts[s : s + PORTION]], common)
+        out[s : s + PORTION] = portion([t or "" for t in texts[s : s + PORTION]], common).stats
     return out
 
 

@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,10 +243,10 @@ class Reader:
                         if (found := begins.get(word + true)) and (found >= rare * undone or not word):
                             paths.append((i + len(seen), word + true, 1, extra + self.MISREADING, rare * undone))
 
-    def reach(self, left: str, right: str) -> bool:
+    def reach(self, left: str, right: str, maybe: bool = False) -> bool:
         """Whether the best words of a stream may include one that reaches over the blank or line end between two raw
         tokens. False only where every such word costs at least as much as both tokens read for themselves do: a path
-        over blanks is no cheaper then than one that stops at each of them."""
+        over blanks is no cheaper then than one that stops at each of them. maybe: the bounds are known to allow it."""
         pair = (left, right)
         if pair in self.apart:
             return False
@@ -254,24 +255,25 @@ class Reader:
         for known in (self.apart, self.near):
             if len(known) > 1_000_000:
                 known.clear()
-        got = self._reach(left, right)
+        got = self._reach(left, right, maybe)
         (self.near if got else self.apart).add(pair)
         return got
 
-    def marked(self, pages: list[list[list[str]]]) -> list[tuple[list[int], list[int]]]:
+    def marked(self, pages: list[list[list[str]]], ids: np.ndarray | None = None, table: dict[str, int] | None = None) -> list[tuple[list[int], list[int]]]:
         """For each page, given as the tokens of its lines: the places, counted over the page, of tokens that aren't
         explained as they stand, and of the first of two neighbours for which reach holds. Bounds are looked up for
-        all pages at once, and reach is asked only for pairs that they don't rule out."""
+        all pages at once, and reach is asked only for pairs that they don't rule out. ids: the numbers of all tokens
+        in a table of quality, where they are known."""
         if self._seen is None:
             self._seen = Seen(self)
         flat = [t for split in pages for tokens in split for t in tokens]
         to = np.cumsum([sum(map(len, split)) for split in pages])
-        ids = self._seen.numbers(flat)
+        ids = self._seen.numbers(flat) if ids is None else self._seen.translated(ids, table)
         odd = np.flatnonzero(~self._seen.plain[ids])
         maybe = np.flatnonzero(self._seen.near(ids[:-1], ids[1:]))
         maybe = maybe[~np.isin(maybe + 1, to)]  # no word reaches into another page
         _, first, which = np.unique(ids[maybe] << 32 | ids[maybe + 1], return_index=True, return_inverse=True)
-        asked = np.array([self.reach(flat[f], flat[f + 1]) for f in maybe[first].tolist()], bool)
+        asked = np.array([self.reach(flat[f], flat[f + 1], True) for f in maybe[first].tolist()], bool)
         close = maybe[asked[which]] if len(maybe) else maybe
         out = []
         ends = [np.searchsorted(x, to).tolist() for x in (odd, close)]
@@ -280,12 +282,12 @@ class Reader:
             out.append(tuple((x[at[p - 1] if p else 0 : at[p]] - start).tolist() for x, at in zip((odd, close), ends)))
         return out
 
-    def _reach(self, left: str, right: str) -> bool:
+    def _reach(self, left: str, right: str, maybe: bool) -> bool:
         a = self._tokens.get(left) or self._token(left)
         b = self._tokens.get(right) or self._token(right)
         if not a[0] or not b[0] or a[4] or b[3]:
             return False
-        if self._seen is not None and not self._seen.may(left, right, a[5], b[5], a[6] + b[6]):
+        if not maybe and self._seen is not None and not self._seen.may(left, right, a[5], b[5], a[6] + b[6]):
             return False
         return self._may_join(a[5], b[5], a[6] + b[6])
 
@@ -626,6 +628,8 @@ class Seen(dict):
         self.row, self.kind, self.first_end, self.n_ends = (np.zeros(1024, np.int64) for _ in range(4))
         self.bounds, self.ends = np.zeros((1024, CLASSES), np.uint8), np.zeros(4096, np.uint64)
         self.row_of: dict[str, int] = {}
+        self.source: tuple[int, int] | None = None
+        self.of = np.zeros(0, np.int64)
         self._fresh: list[tuple] = []
         self._cores: list[str] = []
         self._ends: list[int] = []
@@ -657,6 +661,24 @@ class Seen(dict):
         if len(self) > self.MOST:
             self._forget()
         out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        self._keep()
+        return out
+
+    def translated(self, ids: np.ndarray, table: quality._Tokens) -> np.ndarray:
+        """The numbers of tokens that have others in a table."""
+        if len(self) > self.MOST:
+            self._forget()
+        if self.source != (id(table), table.age):
+            self.source, self.of = (id(table), table.age), np.zeros(0, np.int64)
+        if len(self.of) <= len(table):
+            self.of = np.concatenate([self.of, np.full(2 * len(table) + 1 - len(self.of), -1)])
+        fresh = np.unique(ids[self.of[ids] < 0]).tolist()
+        for k in fresh:
+            self.of[k] = self[table.names[k]]
+        self._keep()
+        return self.of[ids]
+
+    def _keep(self) -> None:
         if self._fresh:
             names = ("plain", "left", "right", "price", "hash", "power", "row", "kind", "first_end", "n_ends")
             for name, values in zip(names, zip(*self._fresh)):
@@ -666,7 +688,6 @@ class Seen(dict):
                 self._add("bounds", self.rows_used, self._bounds(self._cores))
             self.used, self.ends_used, self.rows_used = len(self), self.ends_used + len(self._ends), len(self.row_of)
             self._fresh, self._ends, self._cores = [], [], []
-        return out
 
     def _add(self, name: str, used: int, values) -> None:
         column = getattr(self, name)
@@ -886,12 +907,15 @@ def scan_page(text: str, page: int, reader: Reader, marks: tuple[list[int], list
     return rows
 
 
-def scan_pages(texts: list[str], pages: list[int], reader: Reader) -> Iterator[list[tuple[int, str, str, str]]]:
-    """scan_page of many pages."""
+def scan_pages(texts: list[str], pages: list[int], reader: Reader, common: frozenset[str], model: boosting.Booster) -> Iterator[tuple[int, list[tuple[int, str, str, str]]]]:
+    """(place, scan_page) of the prose among many pages."""
     for s in range(0, len(texts), quality.PORTION):
-        part = texts[s : s + quality.PORTION]
-        marks = reader.marked([[line.split() for line in text.split("\n")] for text in part])
-        yield from (scan_page(text, page, reader, m) for text, page, m in zip(part, pages[s : s + quality.PORTION], marks))
+        part = quality.portion(texts[s : s + quality.PORTION], common)
+        prose = _is_prose(part.stats, model)
+        kept = np.repeat(prose, [sum(map(len, split)) for split in part.split])
+        places = np.flatnonzero(prose).tolist()
+        marks = reader.marked([part.split[i] for i in places], part.ids[kept], part.table)
+        yield from ((s + i, scan_page(texts[s + i], pages[s + i], reader, m)) for i, m in zip(places, marks))
 
 
 def lexicon(pages: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[str, int]:
@@ -900,8 +924,10 @@ def lexicon(pages: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                raw.update(text.split())
+            # the same blanks as those of str.split
+            seen = pc.utf8_split_whitespace(batch.column(0)).flatten().value_counts()
+            for token, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
+                raw[token] += n
         counts: Counter = Counter()
         for token, n in raw.items():
             core = token.lower().strip(_wide_edge)
@@ -928,7 +954,10 @@ def _reader(sent) -> Reader:
 
 def _prose(texts: list[str], common: frozenset[str], model: boosting.Booster) -> np.ndarray:
     """Which texts are no case of p1."""
-    stats = quality.batch_stats(texts, common)
+    return _is_prose(quality.batch_stats(texts, common), model)
+
+
+def _is_prose(stats: np.ndarray, model: boosting.Booster) -> np.ndarray:
     return ~((stats[:, 0] >= quality.MIN_CHARS) & (quality.probability(model, stats) > 0.5))
 
 
@@ -944,9 +973,7 @@ def scanned(pages: DataFrame, words: DataFrame, counts: dict[str, int] | None =
         reader = _reader(sent)
         for batch in batches:
             docs, numbers, texts = (batch.column(k).to_pylist() for k in range(3))
-            prose = np.flatnonzero(_prose(texts, common, model)).tolist()
-            found = scan_pages([texts[i] for i in prose], [numbers[i] for i in prose], reader)
-            rows = [(docs[i], numbers[i], *r) for i, page in zip(prose, found) for r in page]
+            rows = [(docs[i], numbers[i], *r) for i, page in scan_pages(texts, numbers, reader, common, model) for r in page]
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
